@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 256
+BLOCK = 4096
 
 
 def change_history(timeline: DataFrame, entity: str, at: str, value: Column) -> DataFrame:
@@ -55,11 +55,11 @@ def last_known(histories: dict[str, DataFrame], probes: DataFrame, block: int =
     lasts = shared.select("*", bucket).groupBy("entity", "block").agg(
         *(F.max_by(n, F.when(F.col(n).isNotNull(), F.col("at"))).alias(n) for n in names))
     wanted = blank.select("entity", bucket).distinct()
-    spine = lasts.unionByName(wanted.select("entity", "block", *(F.lit(None).cast(f"struct<v:{_type(histories[n])}>").alias(n) for n in names)))
-    spine = spine.groupBy("entity", "block").agg(*(F.first(n, ignorenulls=True).alias(n) for n in names))
+    spine = lasts.withColumn("asked", F.lit(False)).unionByName(
+        wanted.select("entity", "block", *(F.lit(None).cast(f"struct<v:{_type(histories[n])}>").alias(n) for n in names), F.lit(True).alias("asked")))
+    spine = spine.groupBy("entity", "block").agg(*(F.first(n, ignorenulls=True).alias(n) for n in names), F.max("asked").alias("asked"))
     before = Window.partitionBy("entity").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = spine.select("entity", "block", *(F.last(n, ignorenulls=True).over(before).alias(n) for n in names))
-    carried = carried.join(wanted, ["entity", "block"], "left_semi")
+    carried = spine.select("entity", "block", "asked", *(F.last(n, ignorenulls=True).over(before).alias(n) for n in names)).where("asked")
     rows = (
         carried.select("entity", "block", F.lit(None).cast("long").alias("at"), *names, F.lit(False).alias("probe"))
         .unionByName(shared.select("entity", bucket, F.col("at").cast("long").alias("at"), *names, "probe"))

@@ -95,18 +95,16 @@ def known_mentions(mentions: DataFrame, registry: DataFrame, disguises: DataFram
     m = mentions.select("mention_id", "canonical_name", "chapter", "alias").join(masks, ["canonical_name", "alias"], "left")
     masked = F.coalesce(F.col("chapter") < F.col("until"), F.lit(False))
     m = m.select(
-        "mention_id", "canonical_name", F.col("chapter").cast("long").alias("chapter"),
+        "mention_id", F.when(masked, F.col("canonical_name")).alias("real_name"), F.col("chapter").cast("long").alias("chapter"),
         F.when(masked, F.col("alias")).otherwise(F.col("canonical_name")).alias("known_name"),
         F.when(masked, F.coalesce("real_registered", F.lit(False))).alias("real_registered"),
     )
     probes = m.where("known_name IS NOT NULL AND chapter IS NOT NULL").select(F.col("known_name").alias("entity"), F.col("chapter").alias("at"))
-    got = last_known(attribute_histories(registry, attributes), probes)
-    got = got.join(names.withColumnRenamed("canonical_name", "entity"), "entity", "left")
+    ever = names.select(F.col("canonical_name").alias("entity"), F.lit(-(2**40)).cast("long").alias("at"), F.col("latest").alias("value"))
+    got = last_known(attribute_histories(registry, attributes) | {"latest": ever}, probes)
     got = got.withColumnsRenamed({"entity": "known_name", "at": "chapter"})
     out = m.join(got, ["known_name", "chapter"], "left")
     registered = F.coalesce("real_registered", F.col("latest").isNotNull())
-    keys = ["known_name", "chapter", "mention_id", "canonical_name"]
-    return (
-        out.withColumn("registered", registered)
-        .groupBy(*keys).agg(*(F.first(c).alias(c) for c in ("registered", "latest", *attributes)))
-    )
+    keys = ["known_name", "chapter", "mention_id", "real_name"]
+    once = out.withColumn("registered", registered).groupBy(*keys).agg(*(F.first(c).alias(c) for c in ("registered", "latest", *attributes)))
+    return once.select("mention_id", F.coalesce("real_name", "known_name").alias("canonical_name"), "known_name", "chapter", "registered", "latest", *attributes)
