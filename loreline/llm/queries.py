@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreline.llm.lookalike import same_looking_pairs
+from loreline.llm.markup import clean_text, marked_fields
 from loreline.llm.names import map_redirects, unmatched_values
 
 
@@ -21,6 +22,21 @@ def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return unmatched_values(_table(spark, d, "redirects"), _table(spark, d, "canon_list"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    silver, docs = _table(spark, d, "silver"), _table(spark, d, "documents")
+    notes = F.array_join(F.filter("notes", lambda x: x.isNotNull()), "\n\n")
+    fields = silver.select(F.lit("silver").alias("origin"), F.col("number").cast("long").alias("rec_id"), F.explode(F.array(
+        F.struct(F.lit("long_summary").alias("field"), F.col("long_summary").alias("text")), F.struct(F.lit("notes"), notes))).alias("f")).select("origin", "rec_id", "f.*")
+    return marked_fields(fields.unionByName(docs.select(F.lit("documents").alias("origin"), F.col("doc_id").alias("rec_id"), F.lit("text").alias("field"), "text")))
+
+
+def p2_text(spark: SparkSession, d: str) -> DataFrame:
+    """Readable text of every chapter line and document."""
+    c = _table(spark, d, "chapters").select(F.lit("chapters").alias("origin"), F.col("line_no").alias("rec_id"), F.col("wikitext").alias("text"))
+    t = _table(spark, d, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("rec_id"), "text")
+    return clean_text(c.unionByName(t), "text").drop("text")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     a = _table(spark, d, "suspicious_aliases").select(F.lit("suspicious_aliases").alias("origin"), F.lit(0).alias("scope"), F.col("alias_id").alias("id"), F.col("alias").alias("text"))
     c = _table(spark, d, "chapters").where((F.col("number") > 0) & F.col("wikitext").rlike(r"[^\s\p{Z}\x{FEFF}\x{200B}]"))
@@ -28,5 +44,5 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return same_looking_pairs(a.unionByName(c))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p4_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_text, p4_found)}
 ORACLES: dict[str, str] = {}
