@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loreline.llm.cut import cut_rates, score_cuts
 from loreline.llm.lookalike import same_looking_pairs
 from loreline.llm.markup import clean_text, marked_fields
 from loreline.llm.names import map_redirects, unmatched_values
@@ -26,7 +27,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     silver, docs = _table(spark, d, "silver"), _table(spark, d, "documents")
     notes = F.array_join(F.filter("notes", lambda x: x.isNotNull()), "\n\n")
     fields = silver.select(F.lit("silver").alias("origin"), F.col("number").cast("long").alias("rec_id"), F.explode(F.array(
-        F.struct(F.lit("long_summary").alias("field"), F.col("long_summary").alias("text")), F.struct(F.lit("notes"), notes))).alias("f")).select("origin", "rec_id", "f.*")
+        F.struct(F.lit("long_summary").alias("field"), F.col("long_summary").alias("text")), F.struct(F.lit("notes").alias("field"), notes.alias("text")))).alias("f")).select("origin", "rec_id", "f.*")
     return marked_fields(fields.unionByName(docs.select(F.lit("documents").alias("origin"), F.col("doc_id").alias("rec_id"), F.lit("text").alias("field"), "text")))
 
 
@@ -44,5 +45,20 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return same_looking_pairs(a.unionByName(c))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_text, p4_found)}
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    s = _table(spark, d, "silver").select(F.lit("silver").alias("origin"), F.col("number").cast("long").alias("rec_id"), "source", F.col("long_summary").alias("text"))
+    t = _table(spark, d, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("rec_id"), "source", "text")
+    return score_cuts(s.unionByName(t))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).where("p_cut >= 0.5").select("origin", "rec_id").distinct()
+
+
+def p6_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The rate of cut texts per source."""
+    return cut_rates(_scored(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_text, p4_found, p6_found, p6_rates)}
 ORACLES: dict[str, str] = {}
