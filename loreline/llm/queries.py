@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreline.llm.cut import cut_rates, score_cuts
+from loreline.llm.language import document_languages, relabelled
 from loreline.llm.lookalike import same_looking_pairs
 from loreline.llm.markup import clean_text, marked_fields
 from loreline.llm.names import map_redirects, unmatched_values
@@ -60,5 +61,15 @@ def p6_rates(spark: SparkSession, d: str) -> DataFrame:
     return cut_rates(_scored(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_text, p4_found, p6_found, p6_rates)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return relabelled(_table(spark, d, "documents")).select("doc_id", "seg_no", "lang")
+
+
+def p10_languages(spark: SparkSession, d: str) -> DataFrame:
+    """The language of every document and of each of its paragraphs, with confidence."""
+    read = document_languages(_table(spark, d, "documents").select("doc_id", "text", "lang"))
+    return read.select("doc_id", "main", F.round("main_confidence", 4).alias("main_confidence"), F.to_json("segments").alias("segments"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_text, p4_found, p6_found, p6_rates, p10_found, p10_languages)}
 ORACLES: dict[str, str] = {}
