@@ -31,7 +31,7 @@ NAMES = {
     "ja": ("ja", "jpn", "jp", "japanese", "日本語", "japonais", "japanisch"),
 }
 BITS = 16
-PER_LABEL = 1500  # most documents of one label that training looks at; a documented bound
+PER_LABEL = 600  # most documents of one label that training looks at; a documented bound
 MIN_WORDS = 6  # words outside names that a paragraph must hold to have a language
 
 _PAIRS = [(a, b) for f in FAMILIES.values() for a, b in combinations(f, 2)]
@@ -120,7 +120,7 @@ def _confidence(margin: float) -> float:
     return float(1 / (1 + np.exp(-3 * margin)))
 
 
-def svm(x: list[np.ndarray], y: np.ndarray, epochs: int = 6, c: float = 1e-4, seed: int = 3) -> np.ndarray:
+def svm(x: list[np.ndarray], y: np.ndarray, epochs: int = 4, c: float = 1e-4, seed: int = 3) -> np.ndarray:
     """Linear support vector machine by averaged stochastic subgradient steps."""
     w, mean, rng, t = np.zeros(1 << BITS), np.zeros(1 << BITS), np.random.default_rng(seed), 0
     for _ in range(epochs):
@@ -161,8 +161,8 @@ def fit(examples: list[tuple[str, dict[str, int]]]) -> np.ndarray:
 def train(docs: DataFrame, per_label: int = PER_LABEL) -> np.ndarray:
     """Weights learned from the documents' own labels, of which some are wrong.
 
-    At most ``per_label`` documents of a label, chosen by hash, give their words; those
-    that a first fit takes for another language are left out of the second.
+    At most ``per_label`` documents of a label, chosen by hash, give their paragraphs;
+    those that a first fit takes for another language are left out of the second.
     """
     known = docs.select("text", label_language(F.col("lang")).alias("language")).where("language IS NOT NULL AND length(text) > 40").distinct()
     sizes = {r.language: r["count"] for r in known.groupBy("language").count().collect()}
@@ -173,7 +173,8 @@ def train(docs: DataFrame, per_label: int = PER_LABEL) -> np.ndarray:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"language": b["language"], "words": [dict(words_of(t)) for t in b["text"]]})
+            out = [(lang, dict(words_of(p))) for lang, t in zip(b["language"], b["text"]) for p in _BLANK.split(t) if p.strip() and not _is_label(p)]
+            yield pd.DataFrame([r for r in out if sum(r[1].values()) >= 4], columns=["language", "words"])
 
     rows = [(r.language, dict(r.words)) for r in picked.mapInPandas(count, "language string, words map<string,int>").collect()]
     rows = sorted((r for r in rows if r[1]), key=lambda r: (r[0], sorted(r[1].items())))
@@ -235,7 +236,7 @@ def document_languages(docs: DataFrame, weights: np.ndarray | None = None) -> Da
     return docs.withColumn("_r", read("text")).select("*", "_r.*").drop("_r")
 
 
-def relabelled(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def relabelled(docs: DataFrame, least: float = 0.7) -> DataFrame:
     """(doc_id, seg_no, lang, confidence) of labels to be put right.
 
     seg_no -1: the document's label is missing, names no language or not that of most of
