@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +14,27 @@ from loreline.llm.language import document_languages, relabelled
 from loreline.llm.lookalike import same_looking_pairs
 from loreline.llm.markup import clean_text, marked_fields
 from loreline.llm.names import map_redirects, unmatched_values
+from loreline.llm.mixing import mix, reached_shares
+from loreline.llm.packing import fill_rates, pack
+from loreline.llm.tokens import document_sizes
+
+
+def _work(spark: SparkSession) -> str:
+    """The shared folder; a temporary one only where the session names none and is local."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="loreline-")
+
+
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Token counts of all documents, counted once and written."""
+    path = f"{_work(spark)}/sizes-{uuid.uuid4().hex}"
+    sizes = document_sizes(_table(spark, d, "documents"))
+    sizes.write.parquet(path)
+    return spark.read.schema(sizes.schema).parquet(path)
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -71,5 +96,31 @@ def p10_languages(spark: SparkSession, d: str) -> DataFrame:
     return read.select("doc_id", "main", F.round("main_confidence", 4).alias("main_confidence"), F.to_json("segments").alias("segments"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_text, p4_found, p6_found, p6_rates, p10_found, p10_languages)}
+def _packed(spark: SparkSession, d: str) -> list[tuple[str, int, DataFrame]]:
+    sizes = _sizes(spark, d).select(F.col("doc_id").alias("item"), "tokens")
+    kinds = sorted({(r.capacity_tokens, r.profile) for r in _table(spark, d, "containers").collect()})
+    return [(profile, c, pack(sizes, c, _work(spark))) for c, profile in kinds]
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's containers, for each profile."""
+    return reduce(DataFrame.unionByName, (p.select(F.lit(name).alias("profile"), F.col("item").alias("doc_id"), "part", "tokens", "container") for name, _, p in _packed(spark, d)))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of each profile are."""
+    return reduce(DataFrame.unionByName, (fill_rates(p, c).withColumn("profile", F.lit(name)) for name, c, p in _packed(spark, d)))
+
+
+def p9_selection(spark: SparkSession, d: str) -> DataFrame:
+    """The documents' token ranges in mixed order."""
+    return mix(_sizes(spark, d), _table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of every wanted source."""
+    return reached_shares(p9_selection(spark, d), _table(spark, d, "mix_targets"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_text, p4_found, p6_found, p6_rates, p8_containers, p8_fill, p9_selection, p9_shares, p10_found, p10_languages)}
 ORACLES: dict[str, str] = {}
