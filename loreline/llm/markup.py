@@ -37,8 +37,10 @@ FILE_OPTIONS = re.compile(r"^\s*(thumb(nail)?|frame(d|less)?|border|left|right|c
 
 _TAG = r"(?i:</?(?:" + "|".join(sorted(BLOCKS | INLINE | {"h[1-6]"}, key=lambda x: (-len(x), x))) + r")(?:\s+[^<>]*|\s*/?)>)"
 _CUT_TAG = r"</?(?:" + "|".join(sorted((BLOCKS | INLINE) - {"a", "b", "i", "s", "u", "q", "p"}, key=lambda x: (-len(x), x))) + r")\b(?:\s+[\w-]+(?:=\"?[^\"<>\n]{0,40}\"?)?)*(?=\s|$|<)"
+# Every construct begins with one of these; other places are passed over at once.
+_FIRST = r"(?=[<`~&$\\{}|\[\]!'*_]|thumb\||left\||right\||class=|style=|href=|colspan=)"
 _MASTER = re.compile(
-    r"(?P<comment><!--.*?(?:-->|$(?![\s\S])))"
+    _FIRST + r"(?:(?P<comment><!--.*?(?:-->|$(?![\s\S])))"
     r"|(?P<fence>^(?:```|~~~)[^\n`]*\n(?:.*?\n)?(?:```|~~~)[ \t]*$|^(?:```|~~~)\w*[ \t]*$)"
     rf"|(?P<raw><(?P<rawname>(?i:{RAW}))\b[^<>]*(?<!/)>(?P<rawbody>.*?)</(?P=rawname)\s*>)"
     rf"|(?P<tag>{_TAG})"
@@ -52,7 +54,7 @@ _MASTER = re.compile(
     rf"|(?P<texshown>\\(?:{TEX_SHOWN})\{{)"
     rf"|(?P<texgroup>\{{\\(?:{TEX_GROUP})\b[ \t]?)"
     r"|(?P<texcmd>\\[A-Za-z]{2,}\*?(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})*)"
-    r"|(?P<tablestart>^[ \t]*\{\|[^\n]*$)|(?P<tableend>^[ \t]*\|\}[ \t]*$|\|\})"
+    r"|(?P<tablestart>\{\|[^\n]*$)|(?P<tableend>\|\})"
     r"|(?P<link>\[\[(?P<linkbody>[^\[\]\n]*)\]\])"
     r"|(?P<mdimage>!\[[^\[\]\n]*\]\([^()\s]*(?:\s+\"[^\"\n]*\")?\))"
     r"|(?P<mdlink>\[(?P<mdtext>[^\[\]\n]+)\]\((?P<mdurl>[^()\s]*)(?:\s+\"[^\"\n]*\")?\))"
@@ -65,7 +67,7 @@ _MASTER = re.compile(
     r"|(?P<mdstrong>\*\*(?=[^\s*])|(?<=[^\s*])\*\*|__(?=[^\s_])|(?<=[^\s_])__|~~)"
     r"|(?P<mdem>(?<![\w*])\*(?=[^\s*])(?P<mdembody>[^*\n]{1,200}?)(?<=[^\s*])\*(?![\w*])|(?<![\w_])_(?=[^\s_])[^_\n]{1,200}?(?<=[^\s_])_(?![\w_]))"
     r"|(?P<cutem>(?<![\w_*])[_*](?=\w)|(?<=[\w.,;!?])_(?![\w_]))"
-    r"|(?P<code>`+(?P<codebody>[^`\n]+)`+|`+)",
+    r"|(?P<code>`+(?P<codebody>[^`\n]+)`+|`+))",
     re.M | re.S,
 )
 _WIKIHEAD = re.compile(r"^[ \t]*(={1,6})[ \t]*([^=\n].*?)[ \t]*(={1,6})[ \t]*$")
