@@ -219,6 +219,7 @@ def word_stats(words: DataFrame) -> DataFrame:
 
 def gate(checked: DataFrame, expected: int) -> DataFrame:
     """One row (files, missing, failing, ok): ok if every expected chapter is there and good."""
-    missing = missing_chapters(checked, expected).agg(F.count(F.lit(1)).alias("missing"))
-    counts = checked.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.size("problems") > 0).alias("failing"))
-    return counts.join(F.broadcast(missing)).select("files", "missing", "failing", ((F.col("files") == expected) & (F.col("missing") == 0) & (F.col("failing") == 0)).alias("ok"))
+    none = missing_chapters(checked, expected).select(F.lit(0).alias("file"), F.lit(0).alias("bad"), F.lit(1).alias("gone"))
+    rows = checked.select(F.lit(1).alias("file"), (F.size("problems") > 0).cast("int").alias("bad"), F.lit(0).alias("gone")).unionByName(none)
+    counts = rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("file", "files"), ("gone", "missing"), ("bad", "failing"))))
+    return counts.select("files", "missing", "failing", ((F.col("files") == expected) & (F.col("missing") == 0) & (F.col("failing") == 0)).alias("ok"))
