@@ -64,17 +64,28 @@ def _joins(c: str) -> bool:
     return "\u0590" <= c <= "\u109f" or unicodedata.category(c) == "So"
 
 
+class _Table(dict):
+    """Translation table of _compatible, filled as characters come up."""
+
+    def __missing__(self, code: int) -> str:
+        got = self[code] = _compatible(chr(code))
+        return got
+
+
+_TABLE = _Table()
+_JOINER = re.compile("[\u200c\u200d]")
+
+
 def visible(text: str) -> str:
     """Compatibility form without ignorable characters, letters and accents apart (NFD)."""
     if text.isascii():
         return text
-    out = []
-    for i, c in enumerate(text):
-        if c in "\u200c\u200d" and any(_joins(x) for x in text[max(0, i - 1) : i + 2] if x != c):
-            out.append(c)
-        else:
-            out.append(_compatible(c))
-    return unicodedata.normalize("NFD", "".join(out))
+    if _JOINER.search(text) and any(map(_joins, set(text))):
+        near = [any(_joins(x) for x in text[max(0, i - 1) : i + 2]) for i in range(len(text))]
+        out = "".join(c if c in "\u200c\u200d" and near[i] else _TABLE[ord(c)] for i, c in enumerate(text))
+    else:
+        out = text.translate(_TABLE)
+    return unicodedata.normalize("NFD", out)
 
 
 class Lattice:
@@ -122,10 +133,11 @@ class Lattice:
 
     def text(self, text: str) -> str:
         v = visible(text)
-        if v.isascii():
-            if all(self.word(w) == w for w in set(_SHARED.findall(v))):
-                return v
-        return unicodedata.normalize("NFC", _WORD.sub(lambda m: self.word(m.group()), v))
+        words = set((_SHARED if v.isascii() else _WORD).findall(v))
+        other = {w: r for w in words if (r := self.word(w)) != w}
+        if other:
+            v = _WORD.sub(lambda m: other.get(m.group(), m.group()), v)
+        return unicodedata.normalize("NFC", v)
 
 
 def bigram_counts(texts: DataFrame, column: str = "text") -> dict[tuple[str, str], int]:
