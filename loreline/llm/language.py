@@ -31,12 +31,13 @@ NAMES = {
     "ja": ("ja", "jpn", "jp", "japanese", "日本語", "japonais", "japanisch"),
 }
 BITS = 16
-PER_LABEL = 600  # most documents of one label that training looks at; a documented bound
+PER_LABEL = 300  # most documents of one label that training looks at; a documented bound
 MIN_WORDS = 6  # words outside names that a paragraph must hold to have a language
 
 _PAIRS = [(a, b) for f in FAMILIES.values() for a, b in combinations(f, 2)]
 _MODELS = [("family", f) for f in FAMILIES] + _PAIRS
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+_LOWER = re.compile(r"(?<![^\W\d_])(?=[^\W\d_A-ZÀ-ÖØ-Þ])[^\W\d_]+(?:['’][^\W\d_]+)*")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]+")
 _MARKUP = re.compile(
     r"<!--.*?-->|```.*?(?:```|\Z)|`[^`\n]*`|<(?:pre|code|math|nowiki|ref|script|style)\b[^>]*>.*?</\w+>|</?[A-Za-z][^<>\n]*>|\{\|[^\n]*|\{\{[^{}]*\}\}|^[!|][^\n]*|https?://\S+|&#?\w+;"
@@ -54,13 +55,18 @@ def label_language(label: Column) -> Column:
     return F.try_element_at(table, F.coalesce(bare, F.lit("")))
 
 
-def words_of(text: str) -> Counter[str]:
+def words_of(text: str) -> list[str]:
     """Words that tell a language: lower-case words (names left out), pairs of Japanese letters."""
     if _SUSPECT.search(text):
         text = _MARKUP.sub(" ", text)
-    out: Counter[str] = Counter(w for w in _WORD.findall(text) if w[0].islower() and not _CJK.match(w))
-    for run in _CJK.findall(text):
-        out.update(run[i : i + 2] for i in range(max(1, len(run) - 1)))
+    if text.isascii():
+        return _LOWER.findall(text)
+    runs = _CJK.findall(text)
+    if not runs:
+        return _LOWER.findall(text)
+    out = _LOWER.findall(_CJK.sub(" ", text))
+    for run in runs:
+        out += [run[i : i + 2] for i in range(max(1, len(run) - 1))]
     return out
 
 
@@ -73,29 +79,39 @@ def hashed(word: str) -> list[int]:
 
 
 class Model:
-    """Weights by classifier; words' scores are kept."""
+    """Weights by classifier; the scores of words met are kept in a table."""
+
+    ROWS = 200_000
 
     def __init__(self, weights: np.ndarray):
         self.weights = weights
-        self.cache: dict[str, np.ndarray] = {}
-
-    def word(self, w: str) -> np.ndarray:
-        got = self.cache.get(w)
-        if got is None:
-            if len(self.cache) > 300_000:
-                self.cache.clear()
-            x = hashed(w)
-            got = self.cache[w] = self.weights[:, x].sum(axis=1) / np.sqrt(len(x))
-        return got
-
-    def scores(self, words: Counter[str]) -> np.ndarray:
-        total, n = np.zeros(len(_MODELS)), 0
-        for w, k in words.items():
-            total += self.word(w) * k
-            n += k
-        return total / max(n, 1)
-
-    def language(self, words: Counter[str]) -> tuple[str, float]:
+        self.table = np.zeros((self.ROWS, len(_MODELS)), dtype=np.float32)
+        self.rows: dict[str, int] = {}
+
+    def row(self, w: str) -> int:
+        """The word's row, scored when it is new."""
+        n = len(self.rows)
+        if n == self.ROWS:
+            self.rows.clear()
+            n = 0
+        x = hashed(w)
+        self.table[n] = self.weights[:, x].sum(axis=1) / np.sqrt(len(x))
+        self.rows[w] = n
+        return n
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        if not words:
+            return np.zeros(len(_MODELS))
+        get = self.rows.get
+        total, step = np.zeros(len(_MODELS)), self.ROWS // 2
+        for i in range(0, len(words), step):  # a very long text in parts, so that no row is reused within one
+            if len(self.rows) + step > self.ROWS:
+                self.rows.clear()
+            at = [r if (r := get(w)) is not None else self.row(w) for w in words[i : i + step]]
+            total += self.table[at].sum(axis=0)
+        return total / len(words)
+
+    def language(self, words: list[str]) -> tuple[str, float]:
         """(language, confidence in 0 to 1): family first, then votes of its pairs."""
         s = self.scores(words)
         families = list(FAMILIES)
@@ -173,13 +189,13 @@ def train(docs: DataFrame, per_label: int = PER_LABEL) -> np.ndarray:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(lang, dict(words_of(p))) for lang, t in zip(b["language"], b["text"]) for p in _BLANK.split(t) if p.strip() and not _is_label(p)]
+            out = [(lang, dict(Counter(words_of(p)))) for lang, t in zip(b["language"], b["text"]) for p in _BLANK.split(t) if p.strip() and not _is_label(p)]
             yield pd.DataFrame([r for r in out if sum(r[1].values()) >= 4], columns=["language", "words"])
 
     rows = [(r.language, dict(r.words)) for r in picked.mapInPandas(count, "language string, words map<string,int>").collect()]
     rows = sorted((r for r in rows if r[1]), key=lambda r: (r[0], sorted(r[1].items())))
     model = Model(fit(rows))
-    clean = [r for r in rows if model.language(Counter(r[1]))[0] == r[0]]
+    clean = [r for r in rows if model.language(list(Counter(r[1]).elements()))[0] == r[0]]
     return fit(clean).astype(np.float32)
 
 
@@ -197,7 +213,7 @@ def read_document(text: str | None, model: Model) -> tuple:
     out = []
     for n, p in enumerate(x for x in _BLANK.split(text.replace("\r\n", "\n")) if x.strip()):
         words = words_of(p)
-        size = sum(words.values())
+        size = len(words)
         if size >= MIN_WORDS and not _is_label(p):
             lang, sure = model.language(words)
             out.append((n, lang, sure, size))
@@ -236,16 +252,19 @@ def document_languages(docs: DataFrame, weights: np.ndarray | None = None) -> Da
     return docs.withColumn("_r", read("text")).select("*", "_r.*").drop("_r")
 
 
-def relabelled(docs: DataFrame, least: float = 0.7) -> DataFrame:
+def relabelled(docs: DataFrame, least: float = 0.65) -> DataFrame:
     """(doc_id, seg_no, lang, confidence) of labels to be put right.
 
     seg_no -1: the document's label is missing, names no language or not that of most of
     its text; n: its n-th paragraph is in another language than most of the text, with at
-    least ``least`` confidence. Repeated rows count once; blank texts give nothing.
+    least ``least`` confidence. Repeated rows count once; blank texts give nothing. A
+    text is read once, and only what is found leaves its row.
     """
-    read = document_languages(docs.select("doc_id", "text", "lang").distinct())
-    named = label_language(F.col("lang"))
-    wrong = read.where(F.col("main").isNotNull() & ~named.eqNullSafe(F.col("main")))
-    whole = wrong.select("doc_id", F.lit(-1).alias("seg_no"), F.col("main").alias("lang"), F.col("main_confidence").alias("confidence"))
-    parts = read.select("doc_id", "main", F.explode("segments").alias("s")).where((F.col("s.lang") != F.col("main")) & (F.col("s.confidence") >= least))
-    return whole.unionByName(parts.select("doc_id", "s.seg_no", "s.lang", "s.confidence")).groupBy("doc_id", "seg_no", "lang").agg(F.max("confidence").alias("confidence"))
+    read = document_languages(docs.select("doc_id", "text", "lang")).where("main IS NOT NULL")
+    item = lambda n, lang, sure: F.struct(n.alias("seg_no"), lang.alias("lang"), sure.alias("confidence"))
+    other = F.filter("segments", lambda s: (s["lang"] != F.col("main")) & (s["confidence"] >= least))
+    parts = F.transform(other, lambda s: item(s["seg_no"], s["lang"], s["confidence"]))
+    wrong = ~label_language(F.col("lang")).eqNullSafe(F.col("main"))
+    whole = F.when(wrong, F.array(item(F.lit(-1), F.col("main"), F.col("main_confidence")))).otherwise(F.slice(parts, 1, 0))
+    rows = read.select("doc_id", F.explode(F.concat(whole, parts)).alias("x"))
+    return rows.select("doc_id", "x.*").groupBy("doc_id", "seg_no", "lang").agg(F.max("confidence").alias("confidence"))
