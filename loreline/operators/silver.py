@@ -182,9 +182,9 @@ def validate_silver(files: DataFrame) -> DataFrame:
 
 
 def check_files(files: DataFrame) -> DataFrame:
-    """(file_name, number, problems, words) of Markdown files named chapter_0000.md."""
+    """(file_name, number, problems, words) of Markdown files named chapter_0000.md, from 10000 on with more digits."""
     header, body = split_front_matter(F.col("value"))
-    rows = files.select("file_name", F.regexp_extract("file_name", r"chapter_(\d{4})\.md", 1).cast("int").alias("number"), header.alias("h"), sections_map(body).alias("s"))
+    rows = files.select("file_name", F.regexp_extract("file_name", r"chapter_(\d{4,})\.md", 1).try_cast("int").alias("number"), header.alias("h"), sections_map(body).alias("s"))
     h = F.col("h")
     listed = F.size(F.regexp_extract_all(h, F.lit(r"(?md)^  - name: "), F.lit(0)))
     declared = scalar(h, "character_count")
