@@ -17,7 +17,7 @@ class Dimensions:
     """What comes from outside the pages.
 
     categories: (title, categories); redirects: (redirect, canonical_name); disguises:
-    (alias, canonical_name, revelation); overrides: (canonical_name, entity_type);
+    (alias, canonical_name, revelation; null: not revealed so far); overrides: (canonical_name, entity_type);
     concepts: (name); characters, places: (name); fruits: (name, english, pos).
     Keys are distinct; Spark broadcasts a table where its size at run time allows it.
     """
@@ -114,15 +114,17 @@ def lexicon_english(d: Dimensions) -> DataFrame:
 
 def resolve_items(items: DataFrame, d: Dimensions) -> DataFrame:
     """Items (canonical_name, alias, chapter, ...) after redirect, English name and
-    disguise, one hop each and in this order. Other columns stay."""
+    disguise, one hop each and in this order. A disguise whose revelation is null is not
+    revealed so far and hides at every chapter. Other columns stay."""
     rest = [c for c in items.columns if c not in ("canonical_name", "alias")]
     to = d.redirects.select(F.col("redirect").alias("canonical_name"), F.col("canonical_name").alias("_to"))
     x = items.join(to, "canonical_name", "left")
     x = x.select(*rest, F.coalesce("_to", "canonical_name").alias("canonical_name"), F.when(F.col("_to").isNotNull(), F.coalesce("alias", "canonical_name")).otherwise(F.col("alias")).alias("alias"))
     english = lexicon_english(d).select(F.col("english").alias("canonical_name"), F.col("canonical_name").alias("_to"))
     x = x.join(english, "canonical_name", "left").select(*rest, F.coalesce("_to", "canonical_name").alias("canonical_name"), "alias")
-    x = x.join(d.disguises.select("canonical_name", "alias", "revelation"), ["canonical_name", "alias"], "left")
-    hidden = F.coalesce(F.col("chapter") < F.col("revelation"), F.lit(False))
+    masks = d.disguises.select("canonical_name", "alias", F.coalesce(F.col("revelation"), F.lit(2**31 - 1)).alias("_until"))
+    x = x.join(masks, ["canonical_name", "alias"], "left")
+    hidden = F.coalesce(F.col("chapter") < F.col("_until"), F.lit(False))
     return x.select(*rest, F.when(hidden, F.col("alias")).otherwise(F.col("canonical_name")).alias("canonical_name"), F.when(~hidden, F.col("alias")).alias("alias"))
 
 

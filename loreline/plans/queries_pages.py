@@ -48,7 +48,7 @@ def dimensions(spark: SparkSession, d: str) -> res.Dimensions:
     of = lambda kind: canon.where(F.col("entity_type") == kind).select(F.col("canonical_name").alias("name"))
     fruits = canon.where("entity_type = 'Devil Fruit'").select(F.col("canonical_name").alias("name"), F.lit(None).cast("string").alias("english"), F.col("entry_id").cast("long").alias("pos"))
     return res.Dimensions(
-        categories=cats, redirects=red, disguises=table(spark, d, "disguises").where("revelation IS NOT NULL").distinct(),
+        categories=cats, redirects=red, disguises=disguises(spark, d),
         overrides=spark.createDataFrame(OVERRIDES, "canonical_name string, entity_type string"), concepts=spark.createDataFrame(CONCEPTS, "name string"),
         characters=of("Character"), places=of("Place"), fruits=fruits)
 
@@ -61,7 +61,7 @@ def facts(spark: SparkSession, d: str) -> DataFrame:
 def known(spark: SparkSession, d: str) -> DataFrame:
     """Mentions under the names readers knew: disguises resolved."""
     items = facts(spark, d).select("mention_id", "canonical_name", "alias", "chapter")
-    return res.resolve_items(items, res.empty_dimensions(spark, disguises=told(spark, d)))
+    return res.resolve_items(items, res.empty_dimensions(spark, disguises=disguises(spark, d)))
 
 
 def cast_table(spark: SparkSession, d: str) -> DataFrame:
@@ -71,8 +71,9 @@ def cast_table(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("name").alias("canonical_name"), "chapter", F.coalesce("on_panel", F.lit(False)).alias("appearance"), F.lit(False).alias("grouped"))
 
 
-def told(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "disguises").where("revelation IS NOT NULL").distinct()
+def disguises(spark: SparkSession, d: str) -> DataFrame:
+    """Disguises, those not revealed so far (null) included."""
+    return table(spark, d, "disguises").distinct()
 
 
 def types_table(spark: SparkSession, d: str) -> DataFrame:
@@ -208,7 +209,7 @@ def excluded_names(spark, d):
 
 def resolve_disguise(spark, d):
     items = facts(spark, d).select("mention_id", "canonical_name", "alias", "chapter")
-    dim = res.empty_dimensions(spark, disguises=told(spark, d))
+    dim = res.empty_dimensions(spark, disguises=disguises(spark, d))
     return res.resolve_items(items, dim).select("mention_id", "canonical_name", "alias")
 
 
@@ -240,7 +241,7 @@ def alias_first_use(spark, d):
 
 
 def disguise_alias_date(spark, d):
-    return m.with_disguises(m.alias_first_use(known(spark, d)), told(spark, d))
+    return m.with_disguises(m.alias_first_use(known(spark, d)), disguises(spark, d))
 
 
 def mention_steps(spark, d):
@@ -248,11 +249,11 @@ def mention_steps(spark, d):
 
 
 def disguise_merge(spark, d):
-    return r.disguise_merge(r.mention_steps(known(spark, d)), told(spark, d))
+    return r.disguise_merge(r.mention_steps(known(spark, d)), disguises(spark, d))
 
 
 def registry(spark, d):
-    return r.registry(r.mention_steps(known(spark, d), cast_table(spark, d)), told(spark, d))
+    return r.registry(r.mention_steps(known(spark, d), cast_table(spark, d)), disguises(spark, d))
 
 
 def registry_at(spark, d):
@@ -262,7 +263,7 @@ def registry_at(spark, d):
 def aliases_asof(spark, d):
     f = known(spark, d)
     rows = r.mention_steps(f).select("canonical_name", F.col("chapter").alias("valid_from"))
-    return r.aliases_asof(rows, m.with_disguises(m.alias_first_use(f), told(spark, d))).select("canonical_name", "valid_from", F.array_join("aliases", "|").alias("aliases"))
+    return r.aliases_asof(rows, m.with_disguises(m.alias_first_use(f), disguises(spark, d))).select("canonical_name", "valid_from", F.array_join("aliases", "|").alias("aliases"))
 
 
 def registry_from_pages(spark, d):
