@@ -341,7 +341,8 @@ def silver_files(spark, d) -> DataFrame:
 
 
 def render_markdown(spark, d):
-    return silver_files(spark, d).select("file_name", F.regexp_extract("value", r"(?s)^(---\n.*?)\nsource: ", 1).alias("head"))
+    """The whole file of every chapter, and apart its front matter as far as the SQL has it."""
+    return silver_files(spark, d).select("file_name", F.regexp_extract("value", r"(?s)^(---\n.*?)\nsource: ", 1).alias("head"), "value")
 
 
 def validate_silver(spark, d):
