@@ -37,6 +37,8 @@ FILE_OPTIONS = re.compile(r"^\s*(thumb(nail)?|frame(d|less)?|border|left|right|c
 
 _TAG = r"(?i:</?(?:" + "|".join(sorted(BLOCKS | INLINE | {"h[1-6]"}, key=lambda x: (-len(x), x))) + r")(?:\s+[^<>]*|\s*/?)>)"
 _CUT_TAG = r"</?(?:" + "|".join(sorted((BLOCKS | INLINE) - {"a", "b", "i", "s", "u", "q", "p"}, key=lambda x: (-len(x), x))) + r")\b(?:\s+[\w-]+(?:=\"?[^\"<>\n]{0,40}\"?)?)*(?=\s|$|<)"
+# Attributes of a table; what follows them in its line is text.
+_ATTRS = r"(?:[ \t]*[^\s=\"|]+=(?:\"[^\"\n]*\"?|[^\s\"|]+))*[ \t]*"
 # Every construct begins with one of these; other places are passed over at once.
 _FIRST = r"(?=[<`~&$\\{}|\[\]!'*_]|thumb\||left\||right\||class=|style=|href=|colspan=)"
 _MASTER = re.compile(
@@ -54,7 +56,7 @@ _MASTER = re.compile(
     rf"|(?P<texshown>\\(?:{TEX_SHOWN})\{{)"
     rf"|(?P<texgroup>\{{\\(?:{TEX_GROUP})\b[ \t]?)"
     r"|(?P<texcmd>\\[A-Za-z]{2,}\*?(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})*)"
-    r"|(?P<tablestart>\{\|[^\n]*$)|(?P<tableend>\|\})"
+    rf"|(?P<tablestart>\{{\|{_ATTRS})|(?P<tableend>\|\}})"
     r"|(?P<link>\[\[(?P<linkbody>[^\[\]\n]*)\]\])"
     r"|(?P<mdimage>!\[[^\[\]\n]*\]\([^()\s]*(?:\s+\"[^\"\n]*\")?\))"
     r"|(?P<mdlink>\[(?P<mdtext>[^\[\]\n]+)\]\((?P<mdurl>[^()\s]*)(?:\s+\"[^\"\n]*\")?\))"
@@ -340,12 +342,19 @@ class Scanner:
         self.tree.close("p")
         self.tree.open("table")
         self.tree.open("tr")
-        i += 1
-        while i < len(rows):
+        closed, first, rest, over = self.table_closed(rows, i), True, "", False
+        while i < len(rows) and not over:
             row = rows[i].strip()
             i += 1
+            if first:
+                row, first = re.sub(rf"^\{{\|{_ATTRS}", "", row), False
+            elif not row and not closed and not next((r for r in map(str.strip, rows[i:]) if r), "").startswith(("|", "!")):
+                break
             if row.startswith("|}"):
+                rest = row[2:].strip()
                 break
+            if row.endswith("|}"):
+                row, over = row[:-2].rstrip(), True
             if row.startswith("|-"):
                 self.tree.open("tr")
             elif row.startswith("|+"):
@@ -359,6 +368,8 @@ class Scanner:
                     self.tree.open("th" if mark == "!" else "td")
                     self.inline(cell.strip())
             elif row:
+                if next((x.name for x in reversed(self.tree.stack) if x.name in ("td", "th", "tr", "table")), "") in ("tr", "table"):
+                    self.tree.open("td")
                 m = _WIKILIST.match(row) or _DEF.match(row)
                 if m:
                     self.tree.text("\n" + ("- " if m.group(1)[0] in "*#" else ""))
@@ -367,8 +378,21 @@ class Scanner:
                     self.tree.text("\n")
                     self.inline(row)
         self.tree.close("table")
+        if rest:
+            self.block("p", rest)
         return i
 
+    @staticmethod
+    def table_closed(rows: list[str], i: int) -> bool:
+        """Whether the table that begins in row ``i`` has an end of its own."""
+        depth = 0
+        for row in map(str.strip, rows[i:]):
+            depth += row.startswith("{|")
+            depth -= row.startswith("|}") or row.endswith("|}")
+            if depth <= 0:
+                return True
+        return False
+
     def md_table(self, rows: list[str], i: int) -> int:
         self.hit()
         self.tree.close("p")
