@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreline.operators.asof import change_history, last_known
+from loreline.session import materialise
 
 ATTRIBUTES = ("valid_from", "entity_type", "aliases")
 
@@ -71,6 +72,7 @@ def attribute_histories(registry: DataFrame, attributes: tuple[str, ...] = ATTRI
     if rest:
         facts = registry.groupBy("canonical_name", F.col("valid_from").cast("long").alias("valid_from")).agg(*(F.min(a).alias(a) for a in rest))
         line = line.join(facts, ["canonical_name", "valid_from"], "left")
+    line = materialise(line, "timeline")
     return {a: change_history(line, "canonical_name", "at", F.col(a)) for a in attributes}
 
 
@@ -81,10 +83,8 @@ def known_mentions(mentions: DataFrame, registry: DataFrame, disguises: DataFram
     canonical_name in the registry), latest (greatest valid_from of known_name) and the
     attributes, null where nothing is known. The known name is the alias where (name,
     alias) is a disguise whose revelation is null or later than the chapter. Mentions that
-    repeat a row come out once; null names or chapters match nothing.
-
-    Mentions are reduced to distinct (name, chapter) before the match, so neither a hot
-    name nor repeated rows meet in one task, and no column but the needed ones is moved.
+    repeat a row come out once; null names or chapters match nothing. Empty tables give no
+    rows (mentions) or no attributes. Other columns are ignored.
     """
     names = registry.where("canonical_name IS NOT NULL AND valid_from IS NOT NULL").groupBy("canonical_name").agg(F.max("valid_from").cast("long").alias("latest"))
     masks = (
@@ -94,17 +94,15 @@ def known_mentions(mentions: DataFrame, registry: DataFrame, disguises: DataFram
     )
     m = mentions.select("mention_id", "canonical_name", "chapter", "alias").join(masks, ["canonical_name", "alias"], "left")
     masked = F.coalesce(F.col("chapter") < F.col("until"), F.lit(False))
-    m = m.select(
-        "mention_id", F.when(masked, F.col("canonical_name")).alias("real_name"), F.col("chapter").cast("long").alias("chapter"),
-        F.when(masked, F.col("alias")).otherwise(F.col("canonical_name")).alias("known_name"),
+    probes = m.select(
+        F.when(masked, F.col("alias")).otherwise(F.col("canonical_name")).alias("entity"), F.col("chapter").cast("long").alias("at"),
+        "mention_id", F.when(masked, F.col("canonical_name")).alias("real_name"),
         F.when(masked, F.coalesce("real_registered", F.lit(False))).alias("real_registered"),
     )
-    probes = m.where("known_name IS NOT NULL AND chapter IS NOT NULL").select(F.col("known_name").alias("entity"), F.col("chapter").alias("at"))
-    ever = names.select(F.col("canonical_name").alias("entity"), F.lit(-(2**40)).cast("long").alias("at"), F.col("latest").alias("value"))
+    always = F.lit(-(2**40)).cast("long").alias("at")
+    ever = names.select(F.col("canonical_name").alias("entity"), always, F.col("latest").alias("value"))
     got = last_known(attribute_histories(registry, attributes) | {"latest": ever}, probes)
-    got = got.withColumnsRenamed({"entity": "known_name", "at": "chapter"})
-    out = m.join(got, ["known_name", "chapter"], "left")
     registered = F.coalesce("real_registered", F.col("latest").isNotNull())
-    keys = ["known_name", "chapter", "mention_id", "real_name"]
-    once = out.withColumn("registered", registered).groupBy(*keys).agg(*(F.first(c).alias(c) for c in ("registered", "latest", *attributes)))
-    return once.select("mention_id", F.coalesce("real_name", "known_name").alias("canonical_name"), "known_name", "chapter", "registered", "latest", *attributes)
+    return got.select(
+        "mention_id", F.coalesce("real_name", "entity").alias("canonical_name"), F.col("entity").alias("known_name"), F.col("at").alias("chapter"),
+        registered.alias("registered"), "latest", *attributes)

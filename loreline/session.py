@@ -1,12 +1,15 @@
-"""Session settings the library relies on."""
+"""Session settings the library relies on, and the folder for what is read again."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_held: dict[str, SparkSession] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can read and write.
@@ -34,9 +37,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(where)
 
 
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop file system, path) of a path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's own part of the shared folder.
+
+    That part is removed by ``release``, at the latest when the driver's Python ends.
+    """
+    root = f"{shared_dir(spark)}/loreline-{spark.sparkContext.applicationId}"
+    if root not in _held:
+        _held[root] = spark
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession | None = None) -> None:
+    """Remove what ``materialise`` and ``scratch_path`` left, of all sessions by default.
+    DataFrames that were built on it can't be read afterwards."""
+    for root, s in list(_held.items()):
+        if spark is None or s.sparkContext is spark.sparkContext:
+            del _held[root]
+            try:
+                fs, p = file_system(s, root)
+                fs.delete(p, True)
+            except Exception:  # the JVM has ended before; the cluster's own clean-up is left
+                pass
+
+
+atexit.register(release)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
