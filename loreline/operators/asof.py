@@ -53,7 +53,7 @@ def last_known(histories: dict[str, DataFrame], probes: DataFrame, block: int =
     if clash:
         raise ValueError(f"column names taken: {sorted(clash)}")
     bucket = F.floor(F.col("at") / F.lit(block)).cast("long")
-    asked = probes.where("entity IS NOT NULL AND at IS NOT NULL").withColumn("block", bucket)
+    asked = probes.where("entity IS NOT NULL AND at IS NOT NULL").withColumn("block", bucket).where("block IS NOT NULL")
     wanted = materialise(asked.groupBy("entity", "block").agg(F.count(F.lit(1)).alias("_n")), "wanted")
     total = wanted.agg(F.sum("_n").alias("n")).first().n or 0
     size = max(per_part, total // MOST_HOT)  # at most MOST_HOT pairs can hold more than this
@@ -83,7 +83,9 @@ def _held_by_block(history: DataFrame, wanted: DataFrame, bucket: Column, per_pa
     change = F.struct(F.col("at").cast("long").alias("at"), "value")
     rows = history.where("entity IS NOT NULL AND at IS NOT NULL").select("entity", bucket.alias("block"), change.alias("c"), F.lit(None).cast("long").alias("_n"))
     blank = F.lit(None).cast(dict(rows.dtypes)["c"])
-    both = rows.unionByName(wanted.select("entity", "block", blank.alias("c"), "_n")).repartition("entity")
+    # A change history comes out of a window by entity; with the wanted blocks brought to the
+    # same partitioning the union keeps it, and what follows shuffles nothing.
+    both = rows.unionByName(wanted.select("entity", "block", blank.alias("c"), "_n").repartition("entity"))
     blocks = both.groupBy("entity", "block").agg(F.sort_array(F.collect_list("c")).alias("changes"), F.max("_n").alias("_n"))
     before = Window.partitionBy("entity").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     newest = F.when(F.size("changes") > 0, F.element_at("changes", -1))

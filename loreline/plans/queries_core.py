@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreline.operators.history import entity_history
+from loreline.operators.history import deliveries, entity_history
 from loreline.operators.incremental import unhandled_chapters
 from loreline.operators.known import known_mentions
 from loreline.session import table
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return unhandled_chapters(table(spark, d, "chapters"), table(spark, d, "state"), table(spark, d, "runs"))
+    return unhandled_chapters(table(spark, d, "chapters"), table(spark, d, "state"), table(spark, d, "runs"), files=True)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    got = known_mentions(table(spark, d, "mentions"), table(spark, d, "registry"), table(spark, d, "disguises"), ("valid_from", "entity_type"))
+    got = known_mentions(table(spark, d, "mentions"), table(spark, d, "registry"), table(spark, d, "disguises"), ("valid_from",))
     case = "registered AND valid_from IS NOT NULL AND NOT (known_name = canonical_name AND valid_from = latest)"
     return got.where(case).select("mention_id", F.col("known_name").alias("canonical_name"), F.col("valid_from").cast("int").alias("valid_from"))
 
@@ -28,17 +28,24 @@ def p5_attributes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    whole = entity_history(table(spark, d, "registry_updates"))
+    whole = _history(spark, d)
     return whole.select("canonical_name", F.col("valid_from").cast("int").alias("valid_from"), F.col("valid_to").cast("int").alias("valid_to"))
 
 
 def p7_history(spark: SparkSession, d: str) -> DataFrame:
-    whole = entity_history(table(spark, d, "registry_updates"))
+    whole = _history(spark, d)
     return whole.select(
         "canonical_name", "entity_type", F.array_join("aliases", "|").alias("aliases"),
         F.col("valid_from").cast("int").alias("valid_from"), F.col("valid_to").cast("int").alias("valid_to"))
 
 
+DELIVERIES = 4  # sources that the log of updates is read as, by order of arrival
+
+
+def _history(spark: SparkSession, d: str) -> DataFrame:
+    return entity_history(*deliveries(table(spark, d, "registry_updates"), DELIVERIES))
+
+
 QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_attributes, p7_found, p7_history)}
 
 _P3 = r"""
