@@ -6,16 +6,19 @@ Layout below ``root``::
     deletes/<uuid>/*.parquet     deletion vectors: (file, pos) of rows no longer live
     manifests/<version>.json     files and deletion vectors live in that version, plus properties
 
-A commit writes its files first and then puts ``manifests/<n+1>.json`` in place by a
-rename that fails if the name is taken, so a commit happens wholly or not at all and two
-writers cannot make the same version. Manifests hold file names, one per written file;
-rows stay distributed throughout.
+A manifest may also name files outside ``root``, registered as they stand: so an immutable
+log that others write is a table too. Each deletion vector is kept with the files it
+touches, and only the vectors of the files that are read are read. A commit writes its
+files first and then puts ``manifests/<n+1>.json`` in place by a rename that fails if the
+name is taken, so a commit happens wholly or not at all and two writers cannot make the
+same version. Manifests hold names, one per written file; rows stay distributed.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,9 +37,14 @@ class CommitConflict(Exception):
 class Manifest:
     version: int
     files: tuple[str, ...] = ()
-    deletes: tuple[str, ...] = ()
+    deletes: dict[str, tuple[str, ...]] = field(default_factory=dict)  # vector -> files it touches
     properties: dict[str, str] = field(default_factory=dict)
 
+    def vectors(self, files: Iterable[str]) -> tuple[str, ...]:
+        """Deletion vectors that touch any of ``files``."""
+        wanted = set(files)
+        return tuple(v for v, hit in self.deletes.items() if not wanted.isdisjoint(hit))
+
 
 class VersionedTable:
     def __init__(self, spark: SparkSession, root: str, schema: StructType):
@@ -48,9 +56,7 @@ class VersionedTable:
     # -- storage ---------------------------------------------------------------------
 
     def _fs(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def _path(self, rest: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{rest}")
@@ -73,7 +79,7 @@ class VersionedTable:
         finally:
             stream.close()
         x = json.loads(text)
-        return Manifest(version, tuple(x["files"]), tuple(x["deletes"]), x["properties"])
+        return Manifest(version, tuple(x["files"]), {v: tuple(hit) for v, hit in x["deletes"].items()}, x["properties"])
 
     def _stage(self, df: DataFrame, kind: str) -> list[str]:
         where = f"{kind}/{uuid.uuid4().hex}"
@@ -81,18 +87,30 @@ class VersionedTable:
         return [f"{where}/{n}" for n in self._list(where) if n.endswith(".parquet")]
 
     def commit(self, base: Manifest, added: DataFrame | None = None, deletes: DataFrame | None = None,
-               properties: dict[str, str] | None = None, replace: bool = False) -> Manifest:
+               properties: dict[str, str] | None = None, register: Iterable[str] = (), remove: Iterable[str] = ()) -> Manifest:
         """Make the version after ``base``.
 
-        ``added`` rows go to new files; ``deletes`` (file, pos) becomes a deletion vector;
-        ``replace`` drops all files of ``base``. ``properties`` are merged over the old
-        ones in the same atomic step, which is where a consumer keeps the version it has
+        ``added`` rows go to new files; ``register`` names files elsewhere that belong to
+        the table from now on; ``deletes`` (file, pos) becomes a deletion vector;
+        ``remove`` names files that leave. ``properties`` are merged over the old ones in
+        the same atomic step, which is where a consumer keeps the version it has
         processed. Raises CommitConflict if the version exists already.
         """
         files = self._stage(added.select(*self.schema.names), "data") if added is not None else []
-        vectors = self._stage(deletes.select(FILE, POS), "deletes") if deletes is not None else []
-        old_files, old_vectors = ((), ()) if replace else (base.files, base.deletes)
-        made = Manifest(base.version + 1, (*old_files, *files), (*old_vectors, *vectors), base.properties | (properties or {}))
+        vectors: dict[str, tuple[str, ...]] = {}
+        for v in self._stage(deletes.select(FILE, POS), "deletes") if deletes is not None else []:
+            hit = tuple(sorted(r[0] for r in self._vectors((v,)).select(FILE).distinct().collect()))
+            if hit:
+                vectors[v] = hit
+        gone = set(remove)
+        live = (*(f for f in base.files if f not in gone), *files, *(f for f in register if f not in base.files))
+        kept = {v: left for v, hit in base.deletes.items() if (left := tuple(f for f in hit if f not in gone))}
+        made = Manifest(base.version + 1, live, kept | vectors, base.properties | (properties or {}))
+        self._publish(made)
+        return made
+
+    def _publish(self, made: Manifest) -> None:
+        """Put a manifest in place by a rename that fails if its version is taken."""
         body = json.dumps({"files": made.files, "deletes": made.deletes, "properties": made.properties})
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         temp, final = self._path(f"manifests/.{uuid.uuid4().hex}"), self._path(f"manifests/{made.version:020d}.json")
@@ -111,16 +129,38 @@ class VersionedTable:
             if "FileAlreadyExists" in str(e):
                 raise CommitConflict(f"version {made.version} exists") from e
             raise
-        return made
+
+    def register(self, files: Iterable[str], properties: dict[str, str] | None = None) -> Manifest:
+        """Bring the table to hold just the named files elsewhere; no commit if it does.
+
+        New names are added and absent ones leave, so the difference of two versions is
+        the difference of two listings and no file is read to find it.
+        """
+        base, now = self.manifest(), list(dict.fromkeys(files))
+        new, gone = [f for f in now if f not in set(base.files)], [f for f in base.files if f not in set(now)]
+        return self.commit(base, properties=properties, register=new, remove=gone) if new or gone or base.version < 0 else base
+
+    def compact(self) -> Manifest | None:
+        """Rewrite the files that deletion vectors touch, so that none is left; None if
+        none does. Consumers see no change, as the rows stay the same."""
+        base = self.manifest()
+        touched = tuple(f for f in base.files if base.vectors([f]))
+        return self.commit(base, added=self._rows(touched, base), remove=touched) if touched else None
 
     # -- reading ---------------------------------------------------------------------
 
-    def _rows(self, files: tuple[str, ...], vectors: tuple[str, ...], located: bool = False) -> DataFrame:
-        """Live rows of ``files``; located: with their file and position."""
+    def _address(self, file: str) -> str:
+        return file if "://" in file or file.startswith(("/", "file:")) else f"{self.root}/{file}"
+
+    def _rows(self, files: Iterable[str], m: Manifest, located: bool = False, skip: bool = True) -> DataFrame:
+        """Live rows of ``files`` in version ``m``; located: with their file and position;
+        not skip: rows that deletion vectors take away as well."""
+        files = tuple(files)
         if not files:
             empty = self.spark.createDataFrame([], self.schema)
             return empty.withColumns({FILE: F.lit(""), POS: F.lit(0).cast("long")}) if located else empty
-        df = self.spark.read.schema(self.schema).parquet(*(f"{self.root}/{f}" for f in files))
+        vectors = m.vectors(files) if skip else ()
+        df = self.spark.read.schema(self.schema).parquet(*map(self._address, files))
         if not (located or vectors):
             return df
         df = df.withColumns({FILE: _short(F.col("_metadata.file_path")), POS: F.col("_metadata.row_index")})
@@ -128,33 +168,38 @@ class VersionedTable:
             df = df.join(self._vectors(vectors), [FILE, POS], "left_anti")
         return df if located else df.select(*self.schema.names)
 
-    def _vectors(self, vectors: tuple[str, ...]) -> DataFrame:
+    def _vectors(self, vectors: Iterable[str]) -> DataFrame:
         return self.spark.read.schema(f"{FILE} STRING, {POS} BIGINT").parquet(*(f"{self.root}/{v}" for v in vectors))
 
     def read(self, version: int | None = None, located: bool = False) -> DataFrame:
         m = self.manifest(version)
-        return self._rows(m.files, m.deletes, located)
+        return self._rows(m.files, m, located)
+
+    def changed_files(self, since: int, until: int | None = None) -> tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...], tuple[str, ...]]:
+        """(added, removed, kept files that new deletion vectors touch, these vectors): all
+        that the changes between two versions are read from."""
+        a, b = self.manifest(since), self.manifest(until)
+        both = set(a.files) & set(b.files)
+        fresh = tuple(v for v, hit in b.deletes.items() if v not in a.deletes and not both.isdisjoint(hit))
+        touched = {f for v in fresh for f in b.deletes[v]} & both
+        return tuple(f for f in b.files if f not in both), tuple(f for f in a.files if f not in both), tuple(sorted(touched)), fresh
 
     def changes(self, since: int, until: int | None = None, net: bool = True) -> DataFrame:
         """Rows inserted and deleted between two versions, with ``_change``.
 
-        Only files that one of the two manifests lacks and rows named by new deletion
-        vectors are read. net: rows that were rewritten unchanged (the same values
-        deleted and inserted) are left out; equal rows are told apart by how often they
-        occur.
+        Only ``changed_files`` are read. net: rows that were rewritten unchanged (the same
+        values deleted and inserted) are left out; equal rows are told apart by how often
+        they occur.
         """
         a, b = self.manifest(since), self.manifest(until)
-        both = set(a.files) & set(b.files)
-        new, gone = tuple(f for f in b.files if f not in both), tuple(f for f in a.files if f not in both)
-        out = self._rows(new, b.deletes).withColumn(CHANGE, F.lit(INSERT))
+        new, gone, touched, fresh = self.changed_files(since, b.version)
+        out = self._rows(new, b).withColumn(CHANGE, F.lit(INSERT))
         if gone:
-            out = out.unionByName(self._rows(gone, a.deletes).withColumn(CHANGE, F.lit(DELETE)))
-        fresh = tuple(v for v in b.deletes if v not in set(a.deletes))
-        if fresh and both:
-            kept = self._rows(tuple(f for f in a.files if f in both), a.deletes, located=True)
-            hit = kept.join(self._vectors(fresh).distinct(), [FILE, POS], "left_semi").select(*self.schema.names)
+            out = out.unionByName(self._rows(gone, a).withColumn(CHANGE, F.lit(DELETE)))
+        if touched:
+            hit = self._rows(touched, a, located=True).join(self._vectors(fresh).distinct(), [FILE, POS], "left_semi").select(*self.schema.names)
             out = out.unionByName(hit.withColumn(CHANGE, F.lit(DELETE)))
-        if not (net and (gone or fresh)):
+        if not (net and (gone or touched)):
             return out
         sign = F.sum(F.when(F.col(CHANGE) == INSERT, 1).otherwise(-1)).alias("_n")
         counted = out.groupBy(*self.schema.names).agg(sign).where("_n != 0")
@@ -163,5 +208,5 @@ class VersionedTable:
 
 
 def _short(path: Column) -> Column:
-    """The part of a file's path that manifests hold."""
-    return F.regexp_extract(path, r"(data/[0-9a-f]{32}/[^/]+)$", 1)
+    """A file's name as manifests hold it."""
+    return F.regexp_replace(path, r"^.*/(data/[0-9a-f]{32}/[^/]+)$", "$1")
