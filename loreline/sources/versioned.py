@@ -20,6 +20,7 @@ import json
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,6 +133,7 @@ class VersionedTable:
 
     def register(self, files: Iterable[str], properties: dict[str, str] | None = None) -> Manifest:
         """Bring the table to hold just the named files elsewhere; no commit if it does.
+        files: full addresses as ``DataFrame.inputFiles`` gives them.
 
         New names are added and absent ones leave, so the difference of two versions is
         the difference of two listings and no file is read to find it.
@@ -150,7 +152,8 @@ class VersionedTable:
     # -- reading ---------------------------------------------------------------------
 
     def _address(self, file: str) -> str:
-        return file if "://" in file or file.startswith(("/", "file:")) else f"{self.root}/{file}"
+        """Where a file of a manifest lies; addresses of registered ones are URL-encoded."""
+        return unquote(file) if "://" in file else f"{self.root}/{file}"
 
     def _rows(self, files: Iterable[str], m: Manifest, located: bool = False, skip: bool = True) -> DataFrame:
         """Live rows of ``files`` in version ``m``; located: with their file and position;
@@ -209,4 +212,5 @@ class VersionedTable:
 
 def _short(path: Column) -> Column:
     """A file's name as manifests hold it."""
-    return F.regexp_replace(path, r"^.*/(data/[0-9a-f]{32}/[^/]+)$", "$1")
+    own = F.regexp_replace(path, r"^.*/(data/[0-9a-f]{32}/[^/]+)$", "$1")
+    return F.regexp_replace(own, "^file:/+", "file:///")
