@@ -26,7 +26,8 @@ Changes = dict[str, DataFrame]
 
 def merge(target: VersionedTable, current: DataFrame, keys: list[str], payload: list[str],
           properties: dict[str, str] | None = None, delete_missing: bool = True) -> Manifest:
-    """Bring ``target`` to the rows of ``current`` (unique by ``keys``) in one commit.
+    """Bring ``target`` to the rows of ``current`` (unique by ``keys``) in one commit; none
+    if it holds them already and there are no ``properties`` to set.
 
     Rows whose payload is the same stay where they are. Changed and new rows go to new
     files; the old rows of changed keys, and with ``delete_missing`` of keys that are
@@ -44,6 +45,8 @@ def merge(target: VersionedTable, current: DataFrame, keys: list[str], payload:
     for p in payload:
         same = same & F.col(p).eqNullSafe(F.col(f"_o_{p}"))
     moved = materialise(both.where(~F.coalesce(same, F.lit(False))).select(*target.schema.names, "_new", FILE, POS), "moved")
+    if base.version >= 0 and not properties and not moved.limit(1).count():
+        return base
     added = moved.where("_new").select(*target.schema.names)
     stale = moved.where(F.col(FILE).isNotNull()).select(FILE, POS).distinct()
     return target.commit(base, added=added, deletes=stale if base.files else None, properties=properties)

@@ -9,7 +9,11 @@ sys.path.insert(0, str(Path(__file__).parents[1]))
 
 @pytest.fixture(scope="session")
 def spark():
-    s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    conf = {
+        "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2", "spark.sql.session.timeZone": "UTC", "spark.ui.showConsoleProgress": "false",
+        "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN",  # tables are tiny: compiling takes longer than running
+    }
+    s = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
     yield s
     s.stop()
 
