@@ -3,23 +3,23 @@
 Each document goes where the sum over gaps of the squared number of open containers with
 that gap becomes smallest. Documents are dealt to shards by hash and every shard is packed
 in one stream that holds counts by gap only. Containers that a shard leaves with much room
-are emptied and their documents packed again in a sixteenth of the shards, until one shard
-is left, so the room lost does not grow with the number of shards.
+are opened and their documents packed again in as many shards as they need, until they
+fit in one shard or packing them again no longer closes half of them.
 """
 
 from __future__ import annotations
 
-import uuid
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loreline.session import materialise
+
 PER_SHARD = 50_000  # items a shard is to hold
-FAN_IN = 16
-ROOM = 0.02  # a container with a larger part unused is packed again while shards remain
+ROOM = 0.02  # a container with a larger part unused is packed again while that helps
 _ROWS = "item long, part int, tokens long, level int, shard long, container long, room long"
 
 
@@ -28,38 +28,43 @@ class SumOfSquares:
 
     def __init__(self, capacity: int):
         self.capacity, self.made = capacity, 0
-        self.open: list[list[int]] = [[] for _ in range(capacity + 1)]
-        self.count = np.zeros(capacity + 1, dtype=np.int64)
+        self.open: dict[int, list[int]] = {}
+        self.gaps: list[int] = []  # gaps that open containers have, rising
 
     def place(self, size: int) -> int:
         """Container for an item of ``size`` (1 to capacity). Ties: the tightest place, a
         new container last."""
-        cap, n = self.capacity, self.count
-        new = 2 * n[cap - size] + 1 if size < cap else 0
-        gaps = np.flatnonzero(n[size:]) + size
-        best = None
-        if len(gaps):
-            left = gaps - size
-            cost = -(2 * n[gaps] - 1) + np.where(left > 0, 2 * n[left] + 1, 0)
-            k = int(np.argmin(cost))  # the first, so the smallest gap
-            if cost[k] <= new:
-                best = int(gaps[k])
-        if best is None:
+        cap, boxes, gaps = self.capacity, self.open, self.gaps
+        best, least = None, None
+        for i in range(bisect_left(gaps, size), len(gaps)):
+            gap = gaps[i]
+            left = boxes.get(gap - size)
+            cost = (2 * (len(left) if left else 0) + 1 if gap > size else 0) - 2 * len(boxes[gap]) + 1
+            if least is None or cost < least:
+                best, least = gap, cost
+        fresh = boxes.get(cap - size)
+        new = (2 * (len(fresh) if fresh else 0) + 1) if size < cap else 0
+        if best is None or least > new:
             box, rest = self.made, cap - size
             self.made += 1
         else:
-            box, rest = self.open[best].pop(), best - size
-            n[best] -= 1
+            box, rest = boxes[best].pop(), best - size
+            if not boxes[best]:
+                del boxes[best]
+                del gaps[bisect_left(gaps, best)]
         if rest:
-            self.open[rest].append(box)
-            n[rest] += 1
+            if rest in boxes:
+                boxes[rest].append(box)
+            else:
+                boxes[rest] = [box]
+                insort(gaps, rest)
         return box
 
     def leftovers(self) -> Iterator[tuple[int, int]]:
         """(container, room) of every container not full."""
-        for gap in np.flatnonzero(self.count):
+        for gap in self.gaps:
             for box in self.open[gap]:
-                yield box, int(gap)
+                yield box, gap
 
 
 def _pack(capacity: int, level: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -94,39 +99,43 @@ def pieces(sizes: DataFrame, capacity: int) -> DataFrame:
     return parts.select("item", "part", F.least(F.lit(capacity).cast("long"), F.col("tokens") - F.col("part").cast("long") * capacity).alias("tokens"))
 
 
-def pack(sizes: DataFrame, capacity: int, work: str, per_shard: int = PER_SHARD) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int, per_shard: int = PER_SHARD) -> DataFrame:
     """(item, part, tokens, container): every item of ``sizes`` (item, tokens) in a container.
 
     No container holds more than ``capacity``; items without tokens or with null keys are
-    left out, ids must be distinct. work: a folder all executors share, for what is read
-    again between levels. The result is the same for the same items in any order and for
-    any loss of executors.
+    left out, ids must be distinct. A level deals its items to shards of about
+    ``per_shard``, whatever is left, so no task grows with the input; levels end when one
+    shard held all, or when over half of a level's items came out in containers with room
+    (as when every item is larger than half a container), since another deal of like
+    items would do no better. Each level has at most half the items of the one before.
+    The result is the same for the same items in any order and for any loss of executors.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    spark = sizes.sparkSession
     todo = pieces(sizes.where("item IS NOT NULL AND tokens > 0"), capacity)
-    count = todo.count()
-    shards, level, done = max(1, round(count / per_shard)), 0, []
+    count, level, done = todo.count(), 0, []
     while True:
+        shards = max(1, -(-count // per_shard))
         dealt = todo.withColumn("shard", F.pmod(F.xxhash64("item", "part", F.lit(level)), F.lit(shards)))
         dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64("item", "part"), "item", "part")
-        path = f"{work}/packed-{uuid.uuid4().hex}"
-        dealt.mapInPandas(_pack(capacity, level), _ROWS).write.parquet(path)
-        placed = spark.read.schema(_ROWS).parquet(path)
+        placed = materialise(dealt.mapInPandas(_pack(capacity, level), _ROWS), "packed")
         items = placed.where("item IS NOT NULL")
         if shards == 1:
             done.append(items)
             break
         loose = placed.where(F.col("item").isNull() & (F.col("room") > int(ROOM * capacity))).select("shard", "container")
+        again = materialise(items.join(loose, ["shard", "container"], "left_semi").select("item", "part", "tokens"), "loose")
+        left = again.count()
+        if 2 * left > count or not left:
+            done.append(items)
+            break
         done.append(items.join(loose, ["shard", "container"], "left_anti"))
-        todo = items.join(loose, ["shard", "container"], "left_semi").select("item", "part", "tokens")
-        shards, level = max(1, shards // FAN_IN), level + 1
+        todo, count, level = again, left, level + 1
     name = F.concat_ws("-", "level", "shard", "container").alias("container")
-    out = [d.select("item", "part", "tokens", name) for d in done]
-    whole = out[0]
-    for d in out[1:]:
-        whole = whole.unionByName(d)
+    whole = None
+    for d in done:
+        part = d.select("item", "part", "tokens", name)
+        whole = part if whole is None else whole.unionByName(part)
     return whole
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,24 +15,12 @@ from loreline.llm.names import map_redirects, unmatched_values
 from loreline.llm.mixing import mix, reached_shares
 from loreline.llm.packing import fill_rates, pack
 from loreline.llm.tokens import document_sizes
-
-
-def _work(spark: SparkSession) -> str:
-    """The shared folder; a temporary one only where the session names none and is local."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="loreline-")
+from loreline.session import materialise
 
 
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
     """Token counts of all documents, counted once and written."""
-    path = f"{_work(spark)}/sizes-{uuid.uuid4().hex}"
-    sizes = document_sizes(_table(spark, d, "documents"))
-    sizes.write.parquet(path)
-    return spark.read.schema(sizes.schema).parquet(path)
+    return materialise(document_sizes(_table(spark, d, "documents")), "sizes")
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -99,7 +85,7 @@ def p10_languages(spark: SparkSession, d: str) -> DataFrame:
 def _packed(spark: SparkSession, d: str) -> list[tuple[str, int, DataFrame]]:
     sizes = _sizes(spark, d).select(F.col("doc_id").alias("item"), "tokens")
     kinds = sorted({(r.capacity_tokens, r.profile) for r in _table(spark, d, "containers").collect()})
-    return [(profile, c, pack(sizes, c, _work(spark))) for c, profile in kinds]
+    return [(profile, c, pack(sizes, c)) for c, profile in kinds]
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
