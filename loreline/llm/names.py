@@ -4,6 +4,10 @@ A name is freed of typing habits (markup, namespaces and page suffixes, honorifi
 nicknames, inversion, look-alike letters, accents, spacing), then compared by edit
 distance with every entry through a pigeonhole join: an entry's key is cut into k + 1
 segments, and a key within k edits holds one of them unchanged at a shifted place.
+
+An entry's length sets its k: one edit for every LETTERS_PER_EDIT letters, MAX_EDITS at
+most. A short name is so taken for another only if it is nearly the same, and no segment
+is shorter than half of LETTERS_PER_EDIT.
 """
 
 from __future__ import annotations
@@ -13,15 +17,23 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loreline.session import materialise
+
 UNMATCHED = -1
 MAX_EDITS = 3
+LETTERS_PER_EDIT = 4
 
 # Letters of other scripts that look like Latin ones, and digits typed for letters.
 LOOK_ALIKES = "АВЕКМНОРСТХаеорсухіѕјΑΒΕΖΗΙΚΜΝΟΡΤΥΧο01"
 LATIN = "ABEKMHOPCTXaeopcyxisjABEZHIKMNOPTYXool"
-# Words put before or after a name that do not change whom it names.
-HONORIFICS = ("the", "young", "old", "captain", "cap'n")
-TRAILERS = r"(\?action=.*|#.*|/history|[ .\-]+wiki|\s*\[gone\]|[ .]+etc\.?|[ .\-]*\(?character\)?)$"
+# Words put before a name that do not change whom it names.
+HONORIFICS = (
+    "the", "young", "old", "little", "big", "captain", "capt", "cap'n", "commander", "admiral", "doctor", "dr", "professor", "prof", "mister", "mr", "missus", "mrs", "miss", "ms",
+    "sir", "lord", "lady", "king", "queen", "prince", "princess", "saint", "st", "uncle", "aunt", "brother", "sister", "master", "chief", "boss",
+)
+# What a page address or a typist appends: query, section, tab of the page, a remark in brackets, 'wiki', 'etc.'.
+# A name may hold '/' itself, so of what follows one only tabs are taken off.
+TRAILERS = r"(\?[\w=&%\-]*|#.*|/(?:history|talk|edit|gallery|images|references)|[ .\-]+wiki|\s*\[[^\[\]]*\]|[ .]+etc\.?|[ .\-]*\(?character\)?)$"
 
 
 def _plain_letters() -> tuple[str, str]:
@@ -74,38 +86,45 @@ def _forms(text: Column) -> Column:
     return F.array(F.struct(F.lit("plain").alias("form"), plain_key(text).alias("key")), F.struct(F.lit("sound").alias("form"), sound_key(text).alias("key")))
 
 
+def edits(length: Column, k: int) -> Column:
+    """Edits that an entry of that many letters allows."""
+    return F.least(F.lit(k), F.floor(length / LETTERS_PER_EDIT)).cast("int")
+
+
 def pigeonhole_join(values: DataFrame, entries: DataFrame, k: int) -> DataFrame:
-    """(value, entry_id, distance) of all pairs whose keys are within ``k`` edits.
+    """(value, entry_id, distance) of all pairs whose keys are within the entry's edits.
 
     values: (value, form, key); entries: (entry_id, form, key). Only keys of one form are
     compared. Exact: a value's substrings are taken at every place where, by the lengths
-    alone, a segment can have moved to; no pair within k edits is missed, keys shorter
-    than k + 1 included.
+    alone, a segment can have moved to; no pair within ``edits`` of the entry's length and
+    ``k`` is missed.
     """
-    i = F.explode(F.sequence(F.lit(0), F.lit(k))).alias("i")
-    cut = entries.select("entry_id", "form", F.col("key").alias("ekey"), F.length("key").alias("len"), i)
-    start, stop = F.floor(F.col("i") * F.col("len") / (k + 1)), F.floor((F.col("i") + 1) * F.col("len") / (k + 1))
+    allowed = edits(F.col("len"), k)
+    i = F.explode(F.sequence(F.lit(0), allowed)).alias("i")
+    cut = entries.select("entry_id", "form", F.col("key").alias("ekey"), F.length("key").alias("len"))
+    cut = cut.select("*", allowed.alias("allowed"), i)
+    start, stop = F.floor(F.col("i") * F.col("len") / (F.col("allowed") + 1)), F.floor((F.col("i") + 1) * F.col("len") / (F.col("allowed") + 1))
     cut = cut.withColumn("segment", F.col("ekey").substr(start.cast("int") + 1, (stop - start).cast("int")))
     near = values.select("value", "form", "key", F.explode(F.sequence(F.greatest(F.lit(0), F.length("key") - k), F.length("key") + k)).alias("len"))
-    near = near.select("*", i)
+    near = near.where(F.abs(F.length("key") - F.col("len")) <= allowed).select("*", allowed.alias("allowed"), i)
     delta = F.length("key") - F.col("len")
     width = (stop - start).cast("int")
-    low = F.greatest(F.lit(0), (start - F.floor((F.lit(k) - delta) / 2)).cast("int"))
-    high = F.least(F.length("key") - width, (start + F.floor((F.lit(k) + delta) / 2)).cast("int"))
+    low = F.greatest(F.lit(0), (start - F.floor((F.col("allowed") - delta) / 2)).cast("int"))
+    high = F.least(F.length("key") - width, (start + F.floor((F.col("allowed") + delta) / 2)).cast("int"))
     near = near.select("*", low.alias("low"), high.alias("high"), width.alias("width")).where("low <= high")
     near = near.select("value", "form", "key", "len", "i", "width", F.explode(F.sequence("low", "high")).alias("at"))
     near = near.select("value", "form", "key", "len", "i", F.col("key").substr(F.col("at") + 1, F.col("width")).alias("segment"))
     pairs = near.distinct().join(cut, ["form", "len", "i", "segment"])
     distance = F.levenshtein("key", "ekey", k)
-    return pairs.select("value", "entry_id", distance.alias("distance")).where("distance >= 0")
+    return pairs.select("value", "entry_id", "allowed", distance.alias("distance")).where("distance BETWEEN 0 AND allowed").drop("allowed")
 
 
 def match_names(values: DataFrame, entries: DataFrame, k: int = MAX_EDITS) -> DataFrame:
     """(value, entry_id, distance) for every distinct value; entry_id -1 names none.
 
     values: a string column ``value``; entries: (entry_id, canonical_name). An entry is
-    taken if it alone is nearest within k edits; a tie between entries, an empty key and a
-    null value come out as -1 with a null distance. A first name cut to its initial stands
+    taken if it alone is nearest within the edits its length allows, k at most; a tie
+    between entries, an empty key and a null value come out as -1 with a null distance. A first name cut to its initial stands
     for an entry if that alone fits, with one edit in the rest. Repeated entries (one id)
     count once. Other columns are ignored.
     """
@@ -114,12 +133,13 @@ def match_names(values: DataFrame, entries: DataFrame, k: int = MAX_EDITS) -> Da
     bare = F.regexp_replace("text", "^(" + "|".join(HONORIFICS) + r")\b[\s.\-_]+", "")
     named = named.select("value", "text", F.explode(F.array_distinct(F.array("text", bare))).alias("alt"))
     keyed = named.select("value", "text", F.inline(_forms(F.col("alt")))).where("key <> ''").select("value", "form", "key").distinct()
+    keyed = materialise(keyed, "keyed")  # read by every step
     listed = entries.where("canonical_name IS NOT NULL").select("entry_id", typed_text(F.col("canonical_name")).alias("t")).distinct()
     targets = listed.select("entry_id", F.inline(_forms(F.col("t")))).where("key <> ''").distinct()
     exact = keyed.join(targets, ["form", "key"]).select("value", "entry_id", F.lit(0).alias("distance"))
-    found = _only_nearest(exact)
+    found = materialise(_only_nearest(exact), "exact")
     rest = keyed.join(found.select("value"), "value", "left_anti")
-    near = _only_nearest(pigeonhole_join(rest, targets, k))
+    near = materialise(_only_nearest(pigeonhole_join(rest, targets, k)), "near")
     # First names cut to an initial: the key is the initial and the rest of the name.
     initial = r"^(\p{L})\.\s*(\p{L}.*)$"
     short = values.withColumn("t", typed_text(F.col("value"))).where(F.col("t").rlike(initial))
@@ -127,7 +147,7 @@ def match_names(values: DataFrame, entries: DataFrame, k: int = MAX_EDITS) -> Da
     words = r"^(\p{L})[^ ]* (.+)$"
     cut = listed.where(F.col("t").rlike(words)).select("entry_id", F.regexp_extract("t", words, 1).alias("form"), sound_key(F.regexp_extract("t", words, 2)).alias("key"))
     done = found.unionByName(near)
-    by_initial = _only_nearest(pigeonhole_join(short.join(done.select("value"), "value", "left_anti"), cut, 1))
+    by_initial = materialise(_only_nearest(pigeonhole_join(short.join(done.select("value"), "value", "left_anti"), cut, 1)), "initial")
     done = done.unionByName(by_initial)
     none = values.join(done.select("value"), "value", "left_anti").select("value", F.lit(UNMATCHED).alias("entry_id"), F.lit(None).cast("int").alias("distance"))
     return done.unionByName(none)
