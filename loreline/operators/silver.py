@@ -12,6 +12,7 @@ from loreline.functions.dialect import split_lines, strip
 # Fixed values of the Markdown form.
 NO_TEXT, NO_NOTES, LICENCE = "_(absent)_", "_(absentes)_", "CC BY-SA"
 PAGE_URL = "https://wiki.example/wiki/Chapter_"
+ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
 SECTIONS = ("Short Summary", "Long Summary", "Chapter Notes")
 
 
@@ -117,45 +118,58 @@ def _errors(*checks: tuple[Column, Column]) -> Column:
     return F.filter(found, lambda x: x.isNotNull())
 
 
-def validate_bronze(lines: DataFrame) -> DataFrame:
-    """(line_no, error) of JSON lines (line_no, value), in the order of the checks."""
-    v = F.try_parse_json("value")
+def _type_name(v: Column) -> Column:
+    """The type of a JSON value by the name messages give it; null where there is none."""
     kind = F.schema_of_variant(v)
-    rows = lines.select("line_no", v.alias("v"), kind.alias("kind"))
+    whole = kind.startswith("DECIMAL") & ~F.to_json(v).rlike("[.eE]")
+    return (
+        F.when(kind == "STRING", "str").when((kind == "BIGINT") | whole, "int").when(kind == "BOOLEAN", "bool").when(kind == "VOID", "NoneType")
+        .when(kind.startswith("ARRAY"), "list").when(kind.startswith("OBJECT"), "dict").when(kind.isNotNull(), "float"))
+
+
+def validate_bronze(lines: DataFrame) -> DataFrame:
+    """(line_no, at, error) of JSON lines (line_no, value), in the order of the checks.
+
+    A line that is no JSON counts as text. Whole numbers of any size are whole numbers.
+    """
+    rows = lines.select("line_no", F.try_parse_json("value").alias("v"))
+
+    def sub(name: str) -> Column:
+        return F.try_variant_get("v", f"$.{name}", "variant")
+
+    names = ("number", "revid", "wikitext", "timestamp")
+    rows = rows.select("line_no", "v", _type_name(F.col("v")).alias("kind"), *(_type_name(sub(n)).alias(f"t_{n}") for n in names))
 
-    def field(name: str) -> Column:
+    def said(*message: Column | str) -> Column:
+        return F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(": "), *(m if isinstance(m, Column) else F.lit(m) for m in message))
+
+    def text(name: str) -> Column:
         return F.try_variant_get("v", f"$.{name}", "string")
 
-    def type_of(name: str) -> Column:
-        sub = F.try_variant_get("v", f"$.{name}", "variant")
-        return F.schema_of_variant(sub)
-
-    def said(message: Column | str) -> Column:
-        return F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(": "), message if isinstance(message, Column) else F.lit(message))
-
-    is_object = F.col("kind").startswith("OBJECT")
-    checks: list[tuple[Column, Column]] = [(F.col("kind").isNull() | ~is_object, said(F.concat(F.lit("expected a JSON object, got "), F.coalesce("kind", F.lit("text")))))]
-    for name, wanted, label in (("number", "BIGINT", "int"), ("revid", "BIGINT", "int"), ("wikitext", "STRING", "str")):
-        checks.append((is_object & type_of(name).isNull(), said(f"missing field '{name}'")))
-        checks.append((is_object & type_of(name).isNotNull() & (type_of(name) != wanted), said(F.concat(F.lit(f"field '{name}' should be {label}, got "), type_of(name)))))
-    number = F.try_variant_get("v", "$.number", "bigint")
-    checks.append((is_object & (type_of("number") == "BIGINT") & (number <= 0), said(F.concat(F.lit("field 'number' should be positive, got "), number.cast("string")))))
-    checks.append((is_object & (type_of("wikitext") == "STRING") & (strip(field("wikitext")) == ""), said("field 'wikitext' is empty")))
-    checks.append((is_object & type_of("timestamp").isNull(), said("missing field 'timestamp'")))
-    iso = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
-    checks.append((is_object & type_of("timestamp").isNotNull() & ((type_of("timestamp") != "STRING") | ~field("timestamp").rlike(iso)), said(F.concat(F.lit("field 'timestamp' is not ISO-8601 UTC, got "), F.coalesce(field("timestamp"), F.lit("null"))))))
+    is_object = F.coalesce(F.col("kind") == "dict", F.lit(False))
+    checks: list[tuple[Column, Column]] = [(~is_object, said("expected a JSON object, got ", F.coalesce("kind", F.lit("text"))))]
+    for name, wanted in (("number", "int"), ("revid", "int"), ("wikitext", "str")):
+        got = F.col(f"t_{name}")
+        checks.append((is_object & got.isNull(), said(f"missing field '{name}'")))
+        checks.append((is_object & (got != wanted), said(f"field '{name}' should be {wanted}, got ", got)))
+    low = F.when(F.col("t_number") == "int", text("number").startswith("-") | (text("number") == "0")).when(F.col("t_number") == "bool", text("number") == "false")
+    checks.append((is_object & low, said("field 'number' should be positive, got ", F.when(F.col("t_number") == "bool", "False").otherwise(text("number")))))
+    checks.append((is_object & (F.col("t_wikitext") == "str") & (strip(text("wikitext")) == ""), said("field 'wikitext' is empty")))
+    checks.append((is_object & F.col("t_timestamp").isNull(), said("missing field 'timestamp'")))
+    iso = F.coalesce((F.col("t_timestamp") == "str") & text("timestamp").rlike(ISO), F.lit(False))
+    shown = F.when(F.col("t_timestamp") == "str", F.concat(F.lit("'"), text("timestamp"), F.lit("'"))).when(F.col("t_timestamp") == "NoneType", "None").otherwise(F.to_json(sub("timestamp")))
+    checks.append((is_object & F.col("t_timestamp").isNotNull() & ~iso, said("field 'timestamp' is not ISO-8601 UTC, got ", shown)))
     found = F.filter(F.array(*(F.when(F.coalesce(bad, F.lit(False)), message) for bad, message in checks)), lambda x: x.isNotNull())
     return rows.select("line_no", F.posexplode(found).alias("at", "error"))
 
 
 def validate_rows(bronze: DataFrame) -> DataFrame:
     """(line_no, error): the bronze checks on typed rows, where a mistyped value is null."""
-    iso = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
     found = F.array(
         F.when(F.col("number").isNull(), "missing field 'number'"), F.when(F.col("revid").isNull(), "missing field 'revid'"),
         F.when(F.col("wikitext").isNull(), "missing field 'wikitext'"), F.when(F.col("number") <= 0, "field 'number' should be positive"),
         F.when(strip(F.col("wikitext")) == "", "field 'wikitext' is empty"), F.when(F.col("timestamp").isNull(), "missing field 'timestamp'"),
-        F.when(~F.col("timestamp").rlike(iso), "field 'timestamp' is not ISO-8601 UTC"))
+        F.when(~F.col("timestamp").rlike(ISO), "field 'timestamp' is not ISO-8601 UTC"))
     return bronze.select("line_no", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("error"))
 
 
