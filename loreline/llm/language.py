@@ -32,12 +32,16 @@ NAMES = {
 }
 BITS = 16
 PER_LABEL = 300  # most documents of one label that training looks at; a documented bound
-MIN_WORDS = 6  # words outside names that a paragraph must hold to have a language
+SHORT = 3.0  # a text of n words has its confidence damped by (n / (n + SHORT)) squared
+LEAST = 0.5  # confidence under which a text counts as in none of the languages
+OTHER = "other"
 
 _PAIRS = [(a, b) for f in FAMILIES.values() for a, b in combinations(f, 2)]
 _MODELS = [("family", f) for f in FAMILIES] + _PAIRS
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_LOWER = re.compile(r"(?<![^\W\d_])(?=[^\W\d_A-ZÀ-ÖØ-Þ])[^\W\d_]+(?:['’][^\W\d_]+)*")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-\u024f"
+_WORD = re.compile(rf"[{_LETTERS}]+(?:['’][{_LETTERS}]+)*")
+_FOREIGN = re.compile(rf"[^\W\d_{_LETTERS}\u3040-\u30ff\u3400-\u9fff\uff66-\uff9f々〆ーａ-ｚＡ-Ｚ]")
+_KANA = re.compile("[\u3040-\u30ff]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]+")
 _MARKUP = re.compile(
     r"<!--.*?-->|```.*?(?:```|\Z)|`[^`\n]*`|<(?:pre|code|math|nowiki|ref|script|style)\b[^>]*>.*?</\w+>|</?[A-Za-z][^<>\n]*>|\{\|[^\n]*|\{\{[^{}]*\}\}|^[!|][^\n]*|https?://\S+|&#?\w+;"
@@ -56,20 +60,31 @@ def label_language(label: Column) -> Column:
 
 
 def words_of(text: str) -> list[str]:
-    """Words that tell a language: lower-case words (names left out), pairs of Japanese letters."""
+    """Words that tell a language: the first word, lower-case words (so that names are
+    left out), pairs of Japanese letters."""
     if _SUSPECT.search(text):
         text = _MARKUP.sub(" ", text)
-    if text.isascii():
-        return _LOWER.findall(text)
-    runs = _CJK.findall(text)
-    if not runs:
-        return _LOWER.findall(text)
-    out = _LOWER.findall(_CJK.sub(" ", text))
+    words = _WORD.findall(text)
+    out = [w for w in words if w[0] > "Z"] if text.isascii() else [w for w in words if w[0].islower()]
+    if words and words[0][0].isupper():
+        out.append(words[0].lower())
+    runs = () if text.isascii() else _CJK.findall(text)
     for run in runs:
         out += [run[i : i + 2] for i in range(max(1, len(run) - 1))]
     return out
 
 
+def is_foreign(text: str) -> bool:
+    """Is most of it in letters that none of the languages is written in? Chinese
+    characters without any kana among them count as such."""
+    if text.isascii():
+        return False
+    strange, cjk = len(_FOREIGN.findall(text)), sum(map(len, _CJK.findall(text)))
+    if cjk >= 8 and not _KANA.search(text):
+        strange += cjk
+    return 2 * strange > sum(map(len, _WORD.findall(text))) + strange + (cjk if _KANA.search(text) else 0)
+
+
 def hashed(word: str) -> list[int]:
     """The word and its letter groups of two to four, with word ends."""
     w = f"^{word}$"
@@ -99,53 +114,69 @@ class Model:
         self.rows[w] = n
         return n
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        if not words:
-            return np.zeros(len(_MODELS))
-        get = self.rows.get
-        total, step = np.zeros(len(_MODELS)), self.ROWS // 2
-        for i in range(0, len(words), step):  # a very long text in parts, so that no row is reused within one
-            if len(self.rows) + step > self.ROWS:
-                self.rows.clear()
-            at = [r if (r := get(w)) is not None else self.row(w) for w in words[i : i + step]]
-            total += self.table[at].sum(axis=0)
-        return total / len(words)
-
-    def language(self, words: list[str]) -> tuple[str, float]:
-        """(language, confidence in 0 to 1): family first, then votes of its pairs."""
-        s = self.scores(words)
-        families = list(FAMILIES)
-        k = int(np.argmax(s[: len(families)]))
-        rest = np.delete(s[: len(families)], k)
-        sure = float(s[k] - rest.max())
-        members = FAMILIES[families[k]]
-        if len(members) == 1:
-            return members[0], _confidence(sure)
-        votes, margin = Counter(), Counter()
-        for i, (a, b) in enumerate(_PAIRS, len(families)):
-            if a in members:
-                votes[a if s[i] > 0 else b] += 1
-                margin[a] += s[i]
-                margin[b] -= s[i]
-        best = max(members, key=lambda x: (votes[x], margin[x]))
-        closest = min(abs(s[i]) if (s[i] > 0) == (a == best) else -abs(s[i]) for i, (a, b) in enumerate(_PAIRS, len(families)) if best in (a, b))
-        return best, _confidence(min(sure, float(closest)))
-
-
-def _confidence(margin: float) -> float:
-    return float(1 / (1 + np.exp(-3 * margin)))
-
-
-def svm(x: list[np.ndarray], y: np.ndarray, epochs: int = 4, c: float = 1e-4, seed: int = 3) -> np.ndarray:
-    """Linear support vector machine by averaged stochastic subgradient steps."""
+    def scores(self, texts: list[list[str]]) -> np.ndarray:
+        """Mean scores of the words of every text, a row each; 0 for a text without words."""
+        out, sizes = np.zeros((len(texts), len(_MODELS))), [len(t) for t in texts]
+        get, step, k = self.rows.get, self.ROWS // 2, 0
+        while k < len(texts):  # as many texts at a time as surely fit in the table
+            stop, n = k, 0
+            while stop < len(texts) and (n == 0 or n + sizes[stop] <= step):
+                n += sizes[stop]
+                stop += 1
+            for a in range(0, n, step) if stop == k + 1 else (0,):
+                words = texts[k][a : a + step] if stop == k + 1 else [w for t in texts[k:stop] for w in t]
+                if len(self.rows) + len(words) > self.ROWS:
+                    self.rows.clear()
+                at = [r if (r := get(w)) is not None else self.row(w) for w in words]
+                if not at:
+                    continue
+                if stop == k + 1:
+                    out[k] += self.table[at].sum(axis=0)
+                else:
+                    full = [i for i in range(k, stop) if sizes[i]]
+                    ends = np.cumsum([0] + [sizes[i] for i in full[:-1]])
+                    out[full] = np.add.reduceat(self.table[at], ends, axis=0)
+            k = stop
+        return out / np.maximum(np.array(sizes, dtype=float), 1)[:, None]
+
+    def languages(self, texts: list[list[str]]) -> list[tuple[str, float]]:
+        """(language, confidence in 0 to 1) of every text, given by its words: the family
+        first, then votes of its pairs. A text without words has confidence 0."""
+        if not texts:
+            return []
+        s, sizes = self.scores(texts), np.array([len(t) for t in texts], dtype=float)
+        f = len(FAMILIES)
+        family, ranked = s[:, :f].argmax(axis=1), np.sort(s[:, :f], axis=1)
+        sure = ranked[:, -1] - ranked[:, -2]
+        pairs = s[:, f:]
+        votes, margin, worst = (np.zeros((len(texts), len(LANGUAGES))) for _ in range(3))
+        worst += np.inf
+        for i, (a, b) in enumerate(_PAIRS):
+            for k, sign in ((LANGUAGES.index(a), 1.0), (LANGUAGES.index(b), -1.0)):
+                votes[:, k] += sign * pairs[:, i] > 0
+                margin[:, k] += sign * pairs[:, i]
+                worst[:, k] = np.minimum(worst[:, k], sign * pairs[:, i])
+        inside = np.array([[x in m for x in LANGUAGES] for m in FAMILIES.values()])[family]
+        rank = np.where(inside, votes * 1e6 + margin, -np.inf)
+        best = rank.argmax(axis=1)
+        least = np.minimum(sure, worst[np.arange(len(texts)), best])
+        trust = 1 / (1 + np.exp(-3 * least * (sizes / (sizes + SHORT)) ** 2))
+        return [(LANGUAGES[k], float(c) if n else 0.0) for k, c, n in zip(best, trust, sizes)]
+
+
+def svm(x: list[np.ndarray], y: np.ndarray, epochs: int = 4, c: float = 1e-4, seed: int = 3, batch: int = 8) -> np.ndarray:
+    """Linear support vector machine by averaged stochastic subgradient steps over small batches."""
     w, mean, rng, t = np.zeros(1 << BITS), np.zeros(1 << BITS), np.random.default_rng(seed), 0
     for _ in range(epochs):
-        for i in rng.permutation(len(y)):
-            at, value = x[i]
-            t += 1
-            rate = 1 / (1 + c * t)
-            if y[i] * (w[at] @ value) < 1:
-                w[at] += 0.5 * rate * y[i] * value
+        order = rng.permutation(len(y))
+        for k in range(0, len(y), batch):
+            part = order[k : k + batch]
+            at, value = np.concatenate([x[i][0] for i in part]), np.concatenate([x[i][1] for i in part])
+            sizes = [len(x[i][0]) for i in part]
+            margin = y[part] * np.add.reduceat(w[at] * value, np.cumsum([0] + sizes[:-1]))
+            t += len(part)
+            if (margin < 1).any():
+                np.add.at(w, at, 0.5 / (1 + c * t) * np.repeat(np.where(margin < 1, y[part], 0), sizes) * value)
         w *= 1 - c
         mean += w
     return mean / epochs
@@ -160,7 +191,7 @@ def fit(examples: list[tuple[str, dict[str, int]]]) -> np.ndarray:
             h = hashed(w)
             for j in h:
                 total[j] += k / np.sqrt(len(h))
-        x.append((np.fromiter(total.keys(), int), np.fromiter(total.values(), float) / max(n, 1)))
+        x.append((np.fromiter(total.keys(), int, len(total)), np.fromiter(total.values(), float, len(total)) / max(n, 1)))
     langs = [e[0] for e in examples]
     weights = []
     for model in _MODELS:
@@ -195,39 +226,52 @@ def train(docs: DataFrame, per_label: int = PER_LABEL) -> np.ndarray:
     rows = [(r.language, dict(r.words)) for r in picked.mapInPandas(count, "language string, words map<string,int>").collect()]
     rows = sorted((r for r in rows if r[1]), key=lambda r: (r[0], sorted(r[1].items())))
     model = Model(fit(rows))
-    clean = [r for r in rows if model.language(list(Counter(r[1]).elements()))[0] == r[0]]
+    read = model.languages([list(Counter(r[1]).elements()) for r in rows])
+    clean = [r for r, (lang, _) in zip(rows, read) if lang == r[0]]
     return fit(clean).astype(np.float32)
 
 
 _RESULT = "main string, main_confidence double, segments array<struct<seg_no int, lang string, confidence double, words int>>"
 
 
-def read_document(text: str | None, model: Model) -> tuple:
-    """(main language, confidence, [(paragraph, language, confidence, words)]).
+def read_documents(texts: list[str | None], model: Model) -> list[tuple]:
+    """(main language, confidence, [(paragraph, language, confidence, words)]) of every text.
 
-    Paragraphs of markup, names or a short label have no language and are left out. The
-    main language is that of most of the text, by words. All null for a text without any.
+    Paragraphs of markup, names or a short label have no language and are left out; all
+    others have one, a short one with low confidence. The main language is that of most of
+    the text, by words. 'other': written in foreign letters, or like none of the
+    languages. All null for a text without any words.
     """
-    if not text or text.isspace():
+    found: list[tuple[int, int, list[str], bool]] = []  # text, paragraph, words, is foreign
+    for i, text in enumerate(texts):
+        if not text or text.isspace():
+            continue
+        whole = []
+        for n, p in enumerate(x for x in _BLANK.split(text.replace("\r\n", "\n")) if x.strip()):
+            strange = is_foreign(p)
+            if (words := words_of(p)) and not _is_label(p) or strange:
+                whole.append((i, n, words, strange))
+        if not whole:
+            words = words_of(text)
+            whole = [(i, -1, words, False)] if words else []
+        found += whole
+    read = model.languages([f[2] for f in found])
+    parts: list[list[tuple]] = [[] for _ in texts]
+    for (i, n, words, strange), (lang, sure) in zip(found, read):
+        parts[i].append((n, OTHER if strange or sure < LEAST else lang, sure, max(len(words), 1)))
+    return [_main(p) for p in parts]
+
+
+def _main(parts: list[tuple]) -> tuple:
+    if not parts:
         return None, None, []
-    out = []
-    for n, p in enumerate(x for x in _BLANK.split(text.replace("\r\n", "\n")) if x.strip()):
-        words = words_of(p)
-        size = len(words)
-        if size >= MIN_WORDS and not _is_label(p):
-            lang, sure = model.language(words)
-            out.append((n, lang, sure, size))
-    if not out:
-        words = words_of(text)
-        if not words:
-            return None, None, []
-        return (*model.language(words), [])
     weight: Counter[str] = Counter()
-    for _, lang, _, size in out:
+    for _, lang, _, size in parts:
         weight[lang] += size * (0.5 if lang == "ja" else 1)  # two letters to a word
     main = max(weight, key=lambda k: (weight[k], k))
-    trust = sum(s * size for _, lang, s, size in out if lang == main) / sum(size for _, lang, _, size in out if lang == main)
-    return main, trust, out
+    own = [(s, size) for _, lang, s, size in parts if lang == main]
+    trust = sum(s * size for s, size in own) / sum(size for _, size in own)
+    return main, trust, [p for p in parts if p[0] >= 0]
 
 
 def _is_label(p: str) -> bool:
@@ -236,7 +280,9 @@ def _is_label(p: str) -> bool:
 
 
 def document_languages(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
-    """Adds ``main``, ``main_confidence`` and ``segments`` to every row of ``docs`` (text, lang)."""
+    """Adds ``main``, ``main_confidence`` and ``segments`` to every row of ``docs`` (text,
+    lang); null, null and none for null, blank or wordless texts. Without any label to
+    learn from every text is 'other'."""
     weights = train(docs) if weights is None else weights
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # bounded: classifiers x hash size
     held: list[Model] = []
@@ -245,7 +291,7 @@ def document_languages(docs: DataFrame, weights: np.ndarray | None = None) -> Da
     def read(texts: pd.Series) -> pd.DataFrame:
         if not held:
             held.append(Model(shared.value))
-        got = [read_document(t, held[0]) for t in texts]
+        got = read_documents(list(texts), held[0])
         segments = [[{"seg_no": a, "lang": b, "confidence": c, "words": d} for a, b, c, d in g[2]] for g in got]
         return pd.DataFrame({"main": [g[0] for g in got], "main_confidence": [g[1] for g in got], "segments": segments})
 
@@ -258,11 +304,12 @@ def relabelled(docs: DataFrame, least: float = 0.65) -> DataFrame:
     seg_no -1: the document's label is missing, names no language or not that of most of
     its text; n: its n-th paragraph is in another language than most of the text, with at
     least ``least`` confidence. Repeated rows count once; blank texts give nothing. A
-    text is read once, and only what is found leaves its row.
+    text is read once, and only what is found leaves its row. What is in none of the
+    languages is no case, as it has no right label.
     """
-    read = document_languages(docs.select("doc_id", "text", "lang")).where("main IS NOT NULL")
+    read = document_languages(docs.select("doc_id", "text", "lang")).where(F.col("main") != OTHER)
     item = lambda n, lang, sure: F.struct(n.alias("seg_no"), lang.alias("lang"), sure.alias("confidence"))
-    other = F.filter("segments", lambda s: (s["lang"] != F.col("main")) & (s["confidence"] >= least))
+    other = F.filter("segments", lambda s: (s["lang"] != F.col("main")) & (s["lang"] != OTHER) & (s["confidence"] >= least))
     parts = F.transform(other, lambda s: item(s["seg_no"], s["lang"], s["confidence"]))
     wrong = ~label_language(F.col("lang")).eqNullSafe(F.col("main"))
     whole = F.when(wrong, F.array(item(F.lit(-1), F.col("main"), F.col("main_confidence")))).otherwise(F.slice(parts, 1, 0))
