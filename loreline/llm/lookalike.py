@@ -5,6 +5,10 @@ as a lattice of look-alike letters: every letter stands for the class of letters
 the same way. Viterbi picks the path of the best character bigrams of one script. The
 lattice depends on the classes alone, so words that look the same always come out the
 same, and words that look different never do.
+
+Letters of one class are alike in common fonts for certain; letters that only resemble one
+another are left apart, as are forms that can be seen to differ (bold or script letters of
+mathematics, Roman numerals as single signs).
 """
 
 from __future__ import annotations
@@ -20,10 +24,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loreline.session import materialise
+
 # Letters of several scripts that are drawn the same way, by class.
 CLASSES = (
-    "AАΑ", "BВΒ", "CС", "EЕΕ", "HНΗ", "IІΙ", "JЈ", "KКΚ", "MМΜ", "NΝ", "OОΟ", "PРΡ", "SЅ", "TТΤ", "XХΧ", "YΥҮ", "ZΖ",
-    "aа", "cс", "dԁ", "eе", "hһ", "iі", "jј", "lӏ", "oоο", "pр", "qԛ", "sѕ", "wԝ", "xх", "yу", "ГΓ", "ПΠ",
+    "AАΑᎪ", "BВΒᏴ", "CСϹᏟ", "DᎠ", "EЕΕᎬ", "FϜ", "GԌᏀ", "HНΗᎻ", "IІΙӀ", "JЈᎫͿ", "KКΚᏦ", "LᏞ", "MМΜᎷ", "NΝ", "OОΟՕ", "PРΡᏢ", "QԚ", "RᎡ", "SЅՏᏚ", "TТΤᎢ", "UՍ", "VᏙѴ", "WԜᎳ", "XХΧ", "YΥҮᎩ", "ZΖᏃ",
+    "aа", "cсϲ", "dԁ", "eе", "gցɡ", "hһհ", "iі", "jјϳ", "lӏ", "nո", "oоοօ", "pр", "qԛզ", "sѕ", "uս", "vνѵ", "wԝ", "xх", "yу", "ГΓ", "ПΠ", "ФΦ",
 )
 # Signs drawn the same way as an ASCII one.
 SIGNS = {"\u2010": "-", "\u2011": "-"}
@@ -37,11 +43,11 @@ _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])*")
 
 @lru_cache(maxsize=4096)
 def script(c: str) -> str:
-    """L, G or C for Latin, Greek and Cyrillic letters, else ''."""
+    """L, G, C, A or E for Latin, Greek, Cyrillic, Armenian and Cherokee letters, else ''."""
     if c.isascii():
         return "L" if c.isalpha() else ""
     kind = unicodedata.name(c, "").split(" ")[0]
-    return {"LATIN": "L", "GREEK": "G", "CYRILLIC": "C"}.get(kind, "") if unicodedata.category(c)[0] == "L" else ""
+    return {"LATIN": "L", "GREEK": "G", "CYRILLIC": "C", "ARMENIAN": "A", "CHEROKEE": "E"}.get(kind, "") if unicodedata.category(c)[0] == "L" else ""
 
 
 @lru_cache(maxsize=65536)
@@ -143,26 +149,27 @@ class Lattice:
 def bigram_counts(texts: DataFrame, column: str = "text") -> dict[tuple[str, str], int]:
     """Bigrams, with word ends, of the words written in one script, over all rows.
 
-    Collected to the driver: its size is bounded by the letters of three alphabets, not by
-    the rows.
+    Words are counted in expressions and each distinct one is read once. Collected to the
+    driver: its size is bounded by the letters of five alphabets, not by the rows.
     """
-    rows = texts.select(F.col(column).alias("t")).where("t IS NOT NULL").mapInPandas(_count, "a string, b string, n long")
-    total = rows.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    # Capital and small letters, marks and invisible signs belong to a word until it is read.
+    word = r"[\\p{L}\\p{Mn}\\p{Cf}\\x{034F}\\x{FE00}-\\x{FE0F}]+".replace("\\\\", "\\")
+    words = texts.where(F.col(column).isNotNull()).select(F.explode(F.regexp_extract_all(column, F.lit(word), F.lit(0))).alias("w"))
+    counted = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    total = counted.mapInPandas(_count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     return {(r.a, r.b): r.n for r in total.collect()}
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     pairs: Counter[tuple[str, str]] = Counter()
     for batch in batches:
-        words: Counter[str] = Counter()
-        for t in batch["t"]:
-            words.update(_WORD.findall(visible(t)))
-        for w, n in words.items():
-            letters = [c for c in w if not unicodedata.combining(c)]
-            kinds = {script(c) for c in letters}
-            if len(kinds) == 1 and kinds != {""}:
-                for a, b in zip(["^", *letters], [*letters, "$"]):
-                    pairs[a, b] += n
+        for t, n in zip(batch["w"], batch["n"]):
+            for w in _WORD.findall(visible(t)):
+                letters = w if w.isascii() else [c for c in w if not unicodedata.combining(c)]
+                kinds = set(map(script, letters))
+                if len(kinds) == 1 and kinds != {""}:
+                    for a, b in zip(["^", *letters], [*letters, "$"]):
+                        pairs[a, b] += n
     yield pd.DataFrame([(a, b, n) for (a, b), n in pairs.items()], columns=["a", "b", "n"]).astype({"n": "int64"})
 
 
@@ -188,17 +195,30 @@ def consistent_text(df: DataFrame, column: str, counts: dict[tuple[str, str], in
     return df.withColumn(out, form(F.col(column)))
 
 
-def same_looking_pairs(texts: DataFrame) -> DataFrame:
-    """(origin, a_id, b_id), a_id < b_id: rows of one origin and scope that look the same
-    and differ in code points.
+def same_looking_classes(texts: DataFrame) -> DataFrame:
+    """(origin, scope, id, raw, form, members): every text with its class.
 
-    texts: (origin, scope, id, text); null and empty texts pair with nothing, exact copies
-    not with each other. Digests are joined, not texts; the pairs themselves are what is
-    asked for, so each is one row.
+    texts: (origin, scope, id, text), other columns are ignored; null and empty texts are
+    in no class. Rows of one origin, scope and form look the same; ``raw`` tells exact
+    copies (digest of the text), ``form`` is the digest of the consistent form,
+    ``members`` how many different texts look so. One row a text, however many look alike.
     """
     counts = bigram_counts(texts)
     rows = consistent_text(texts.where("text <> ''"), "text", counts, "form", digest=True)
     rows = rows.select("origin", "scope", "id", F.sha2("text", 256).alias("raw"), "form").distinct()
+    sizes = rows.groupBy("origin", "scope", "form", "raw").agg(F.lit(1).alias("one")).groupBy("origin", "scope", "form").agg(F.count(F.lit(1)).alias("members"))
+    return rows.join(sizes, ["origin", "scope", "form"])
+
+
+def same_looking_pairs(texts: DataFrame) -> DataFrame:
+    """(origin, a_id, b_id), a_id < b_id: rows of one origin and scope that look the same
+    and differ in code points.
+
+    Only classes with several different texts are expanded, and the pairs themselves are
+    what is asked for; ``same_looking_classes`` has the same links without them. Exact
+    copies do not pair with each other; null and empty texts pair with nothing.
+    """
+    rows = materialise(same_looking_classes(texts).where("members > 1").select("origin", "scope", "id", "raw", "form"), "alike")
     a, b = rows.alias("a"), rows.alias("b")
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("origin", "scope", "form")]
     pairs = a.join(b, [*on, F.col("a.id") < F.col("b.id"), F.col("a.raw") != F.col("b.raw")])

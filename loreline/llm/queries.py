@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loreline.llm.cut import cut_rates, score_cuts
 from loreline.llm.language import document_languages, relabelled
-from loreline.llm.lookalike import same_looking_pairs
+from loreline.llm.lookalike import same_looking_classes, same_looking_pairs
 from loreline.llm.markup import clean_text, marked_fields
 from loreline.llm.names import map_redirects, unmatched_values
 from loreline.llm.mixing import mix, reached_shares
@@ -50,11 +50,20 @@ def p2_text(spark: SparkSession, d: str) -> DataFrame:
     return clean_text(c.unionByName(t), "text").drop("text")
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
+def _looks(spark: SparkSession, d: str) -> DataFrame:
     a = _table(spark, d, "suspicious_aliases").select(F.lit("suspicious_aliases").alias("origin"), F.lit(0).alias("scope"), F.col("alias_id").alias("id"), F.col("alias").alias("text"))
     c = _table(spark, d, "chapters").where((F.col("number") > 0) & F.col("wikitext").rlike(r"[^\s\p{Z}\x{FEFF}\x{200B}]"))
     c = c.select(F.lit("chapters").alias("origin"), F.col("number").alias("scope"), F.col("line_no").alias("id"), F.col("wikitext").alias("text"))
-    return same_looking_pairs(a.unionByName(c))
+    return a.unionByName(c)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return same_looking_pairs(_looks(spark, d))
+
+
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with the class of those that look like it."""
+    return same_looking_classes(_looks(spark, d)).select("origin", "id", "form", "members")
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
@@ -108,5 +117,5 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return reached_shares(p9_selection(spark, d), _table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_text, p4_found, p6_found, p6_rates, p8_containers, p8_fill, p9_selection, p9_shares, p10_found, p10_languages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_text, p4_found, p4_classes, p6_found, p6_rates, p8_containers, p8_fill, p9_selection, p9_shares, p10_found, p10_languages)}
 ORACLES: dict[str, str] = {}
