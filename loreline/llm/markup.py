@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 BLOCKS = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 INLINE = set("a abbr b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark math nowiki q ref references gallery s samp small span strike strong sub sup syntaxhighlight time tt u var wbr script style noinclude includeonly onlyinclude poem blink button select option textarea title head meta link template object video audio source".split())
 VOID = set("br hr img input meta link wbr source references".split())
-HIDDEN = set("script style head title template ref references select textarea".split())
+HIDDEN = set("script style head title template ref references select".split())
 RAW = "pre|code|nowiki|math|script|style|syntaxhighlight|ref"
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -31,12 +31,17 @@ CLOSED_BY = {
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 # LaTeX commands whose argument is text to show, and those that show nothing.
 TEX_SHOWN = "textbf|textit|emph|texttt|textsc|textsf|underline|textrm|mbox|title|author|caption|footnote|uline|textsuperscript|textsubscript|text"
+TEX_SILENT = r"\\(?:begin|end|documentclass|usepackage|label|ref|eqref|pageref|cite\w*|includegraphics|input|include|bibliography\w*|pagestyle|thispagestyle|setlength|hspace|vspace|newcommand|renewcommand|color|fontsize|selectlanguage|index|setcounter|addtocounter)\b"
 TEX_HEAD = "chapter|section|subsection|subsubsection|paragraph|part"
 TEX_GROUP = "it|bf|em|tt|sc|sl|rm|itshape|bfseries|small|large|Large"
 FILE_OPTIONS = re.compile(r"^\s*(thumb(nail)?|frame(d|less)?|border|left|right|center|none|upright.*|\d+x?\d*px|alt=.*|link=.*)\s*$", re.I)
 
-_TAG = r"(?i:</?(?:" + "|".join(sorted(BLOCKS | INLINE | {"h[1-6]"}, key=lambda x: (-len(x), x))) + r")(?:\s+[^<>]*|\s*/?)>)"
-_CUT_TAG = r"</?(?:" + "|".join(sorted((BLOCKS | INLINE) - {"a", "b", "i", "s", "u", "q", "p"}, key=lambda x: (-len(x), x))) + r")\b(?:\s+[\w-]+(?:=\"?[^\"<>\n]{0,40}\"?)?)*(?=\s|$|<)"
+_BROKEN = r"(?:\s[\w:.-]+\s*=\s*[^<>]*)?"  # the rest of a list that broke off inside
+# A tag holds attributes with values, or bare ones after them or of HTML's own; '<b and c>' is none.
+_BARE = r"(?:hidden|disabled|checked|selected|readonly|required|open|reversed|nowrap|noshade|compact|controls|autoplay|loop|muted|async|defer|multiple|inline)"
+_ATTR = rf"(?:[\w:.-]+\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s<>\"']*)|{_BARE})"
+_TAG = r"(?i:</?(?:" + "|".join(sorted(BLOCKS | INLINE | {"h[1-6]"}, key=lambda x: (-len(x), x))) + rf")(?:\s+{_ATTR})*(?:\s*{_BROKEN}|\s*/?)>)"
+_CUT_TAG = r"</?(?:" + "|".join(sorted((BLOCKS | INLINE) - {"a", "b", "i", "s", "u", "q", "p"}, key=lambda x: (-len(x), x))) + r")\b(?:\s+[\w-]+(?:=\"?[^\"<>\n]*\"?)?)*(?=\s|$|<)"
 # Attributes of a table; what follows them in its line is text.
 _ATTRS = r"(?:[ \t]*[^\s=\"|]+=(?:\"[^\"\n]*\"?|[^\s\"|]+))*[ \t]*"
 # Every construct begins with one of these; other places are passed over at once.
@@ -55,19 +60,19 @@ _MASTER = re.compile(
     r"|(?P<texitem>\\item\b[ \t]*(?:\[[^\]\n]*\])?)"
     rf"|(?P<texshown>\\(?:{TEX_SHOWN})\{{)"
     rf"|(?P<texgroup>\{{\\(?:{TEX_GROUP})\b[ \t]?)"
-    r"|(?P<texcmd>\\[A-Za-z]{2,}\*?(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})*)"
+    r"|(?P<texcmd>(?<![\w:\\])\\[A-Za-z]{2,}\*?(?!\\)(?:\[[^\]\n]*\])?(?P<texargs>(?:\{[^{}\n]*\})*))"
     rf"|(?P<tablestart>\{{\|{_ATTRS})|(?P<tableend>\|\}})"
     r"|(?P<link>\[\[(?P<linkbody>[^\[\]\n]*)\]\])"
     r"|(?P<mdimage>!\[[^\[\]\n]*\]\([^()\s]*(?:\s+\"[^\"\n]*\")?\))"
     r"|(?P<mdlink>\[(?P<mdtext>[^\[\]\n]+)\]\((?P<mdurl>[^()\s]*)(?:\s+\"[^\"\n]*\")?\))"
     r"|(?P<extlink>\[(?:https?|ftp|mailto):[^\s\[\]]+(?:\s+(?P<exttext>[^\[\]\n]*))?\])"
     r"|(?P<note>\[\^[\w-]{1,20}\]:?)"
-    r"|(?P<cutlink>\[\[(?:[^\[\]|\n]{1,60}\|)?|\]\]|\]\((?:https?://[^()\s]*\)?|(?=\S)[^()\s]*\))|\[(?:https?)://\S*|\[\[?$(?![\s\S]))"
+    r"|(?P<cutlink>\[\[(?:[^\[\]|\n]+\|)?|\]\]|\]\((?:https?://[^()\s]*\)?|(?=\S)[^()\s]*\))|\[(?:https?)://\S*|\[\[?$(?![\s\S]))"
     r"|(?P<template>\{\{|\}\})"
     r"|(?P<thumb>(?<![\w\[])thumb\|(?:\d+px\|)?|\|\d+px\||\b(?:left|right)\|\d+px\||\|thumb\b\|?)"
     r"|(?P<quotes>'''''|'''|''(?!'))"
     r"|(?P<mdstrong>\*\*(?=[^\s*])|(?<=[^\s*])\*\*|__(?=[^\s_])|(?<=[^\s_])__|~~)"
-    r"|(?P<mdem>(?<![\w*])\*(?=[^\s*])(?P<mdembody>[^*\n]{1,200}?)(?<=[^\s*])\*(?![\w*])|(?<![\w_])_(?=[^\s_])[^_\n]{1,200}?(?<=[^\s_])_(?![\w_]))"
+    r"|(?P<mdem>(?<![\w*])\*(?=[^\s*])(?P<mdembody>[^*\n]+?)(?<=[^\s*])\*(?![\w*])|(?<![\w_])_(?=[^\s_])[^_\n]+?(?<=[^\s_])_(?![\w_]))"
     r"|(?P<cutem>(?<![\w_*])[_*](?=\w)|(?<=[\w.,;!?])_(?![\w_]))"
     r"|(?P<code>`+(?P<codebody>[^`\n]+)`+|`+))",
     re.M | re.S,
@@ -141,7 +146,7 @@ class Tree:
 
 class Scanner:
     def __init__(self, text: str):
-        self.tree, self.hits, self.source = Tree(), 0, text
+        self.tree, self.hits, self.source, self.no_end = Tree(), 0, text, 0
 
     def hit(self) -> None:
         self.hits += 1
@@ -198,7 +203,7 @@ class Scanner:
 
     def lines(self, text: str) -> None:
         rows = text.split("\n")
-        i, n = 0, len(rows)
+        i, n, self.no_end = 0, len(rows), 0
         lists: list[str] = []
 
         def end_lists(keep: int = 0) -> None:
@@ -230,7 +235,7 @@ class Scanner:
                 i += 1
                 continue
             m = _WIKIHEAD.match(row)
-            if m and min(len(m.group(1)), len(m.group(3))) >= 2 or (m and len(m.group(1)) == len(m.group(3)) == 1 and len(bare) < 80):
+            if m and min(len(m.group(1)), len(m.group(3))) >= 2 or (m and len(m.group(1)) == len(m.group(3)) == 1):
                 end_lists()
                 self.hit()
                 self.block("h", m.group(2))
@@ -243,7 +248,7 @@ class Scanner:
                 self.block("h", m.group(2))
                 i += 1
                 continue
-            if i + 1 < n and _SETEXT.match(rows[i + 1]) and not _SETEXT.match(row) and len(bare) < (200 if rows[i + 1].lstrip()[0] == "=" else 80) and (i == 0 or not rows[i - 1].strip() or rows[i + 1].lstrip()[0] == "="):
+            if i + 1 < n and _SETEXT.match(rows[i + 1]) and not _SETEXT.match(row) and (i == 0 or not rows[i - 1].strip() or rows[i + 1].lstrip()[0] == "="):
                 end_lists()
                 self.hit()
                 self.block("h", bare)
@@ -320,14 +325,25 @@ class Scanner:
                 self.tree.text("\n")
             # A template may run over several lines.
             depth = row.count("{{") - row.count("}}")
-            while depth > 0 and i + 1 < n and "}}" in "\n".join(rows[i + 1 : i + 60]):
-                i += 1
-                row += "\n" + rows[i]
-                depth += rows[i].count("{{") - rows[i].count("}}")
+            if depth > 0 and (stop := self.template_end(rows, i, depth)):
+                row = "\n".join(rows[i : stop + 1])
+                i = stop
             self.inline(row)
             i += 1
         end_lists()
 
+    def template_end(self, rows: list[str], i: int, depth: int) -> int:
+        """The row in which the templates left open in row ``i`` end, else 0. Where the rest
+        of the text has no end for them no later row is asked again."""
+        if i < self.no_end:
+            return 0
+        for k in range(i + 1, len(rows)):
+            depth += rows[k].count("{{") - rows[k].count("}}")
+            if depth <= 0:
+                return k
+        self.no_end = len(rows)
+        return 0
+
     def block(self, name: str, body: str, plain: bool = False) -> None:
         self.tree.close("p")
         self.tree.open(name)
@@ -364,8 +380,10 @@ class Scanner:
             elif row[:1] in ("|", "!"):
                 mark = row[0]
                 for cell in re.split(r"\|\||!!" if mark == "!" else r"\|\|", row[1:]):
-                    cell = re.sub(r"^\s*(?:[\w-]+=(?:\"[^\"]*\"|\S+)\s*)+\|(?!\|)", "", cell)
-                    self.tree.open("th" if mark == "!" else "td")
+                    head = re.match(r"\s*(?:[\w-]+=(?:\"[^\"]*\"|\S+)\s*)+\|(?!\|)", cell)
+                    span = re.search(r"colspan=\"?(\d{1,3})", head.group()) if head else None
+                    cell = cell[head.end() :] if head else cell
+                    self.tree.open("th" if mark == "!" else "td", level=int(span.group(1)) if span else 0)
                     self.inline(cell.strip())
             elif row:
                 if next((x.name for x in reversed(self.tree.stack) if x.name in ("td", "th", "tr", "table")), "") in ("tr", "table"):
@@ -428,8 +446,12 @@ class Scanner:
                 self.tag(got)
             elif kind == "entity":
                 tree.text(html.unescape(got).replace("\xa0", " "))
-            elif kind in ("comment", "cuttag", "note", "cutlink", "thumb", "quotes", "mdimage"):
+            elif kind in ("comment", "cuttag", "note", "cutlink", "thumb", "quotes"):
                 pass
+            elif kind == "mdimage":
+                self.inline(got[2 : got.index("](")])
+            elif kind == "texcmd":
+                self.command(got, m.group("texargs"))
             elif kind == "raw":
                 self.hits -= 1
                 self.special("raw", m)
@@ -465,6 +487,11 @@ class Scanner:
                 self.plain(got[1:-1], closers)
         self.plain(s[at:], closers)
 
+    def command(self, got: str, args: str) -> None:
+        """An unknown LaTeX command shows its last argument; one of the page's make-up nothing."""
+        if args and not re.match(TEX_SILENT, got):
+            self.inline(args[args.rindex("{") + 1 : -1])
+
     def plain(self, s: str, closers: list[str]) -> None:
         while closers and "}" in s:
             closers.pop()
@@ -481,6 +508,8 @@ class Scanner:
         before, after = s[: m.start()], s[m.end():]
         if kind == "cutem":
             if m.group() == "_":
+                if re.search(r"\w$", before) and not re.match(r"\w", after):
+                    return before.count("_") - before.count("__") * 2 > 0  # the close of a mark that was opened
                 return not re.search(r"[\w/]$", before) or not re.match(r"\w", after)
             return not re.match(r"\d", after)
         if kind == "mdem" and m.group()[0] == "*":
@@ -503,7 +532,8 @@ class Scanner:
             alt = re.search(r"alt\s*=\s*\"([^\"]*)\"", got)
             self.tree.text(alt.group(1) if alt else "")
             return
-        self.tree.open(name, hidden)
+        span = re.search(r"colspan\s*=\s*[\"']?(\d{1,3})", got, re.I) if name in ("td", "th") else None
+        self.tree.open(name, hidden, int(span.group(1)) if span else 0)
 
     def link(self, body: str) -> None:
         target, *rest = body.split("|")
@@ -535,6 +565,9 @@ class Scanner:
                 key, _, value = p.partition("=")
                 if value.strip():
                     self.block("p", f"{key.strip()}: {value.strip()}")
+        elif not shown and named:
+            values = [v.strip() for p in named for k, _, v in [p.partition("=")] if re.match(r"(?i)\s*(text|quote|title|content|caption|name|label|note|1|2|3)\s*$", k) and v.strip()]
+            self.inline(": ".join(values))
         elif shown:
             if re.match(r"(?i)\s*(w|wp|wikipedia|lang|nihongo)\b", parts[0]):
                 self.inline(shown[-1])
@@ -664,6 +697,7 @@ def _table(node: Node) -> str:
                 if not grid:
                     grid.append([])
                 grid[-1].append(_tidy(_inline_text(k)))
+                grid[-1].extend([""] * (k.level - 1))
             else:
                 if k.name == "tr":
                     grid.append([])

@@ -44,10 +44,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_text(spark: SparkSession, d: str) -> DataFrame:
-    """Readable text of every chapter line and document."""
+    """Readable text of every chapter line and document and of the summaries and notes."""
     c = _table(spark, d, "chapters").select(F.lit("chapters").alias("origin"), F.col("line_no").alias("rec_id"), F.col("wikitext").alias("text"))
     t = _table(spark, d, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("rec_id"), "text")
-    return clean_text(c.unionByName(t), "text").drop("text")
+    s = _table(spark, d, "silver").select(F.col("number").cast("long").alias("rec_id"), F.explode(F.concat(
+        F.array(F.struct(F.lit("silver.long_summary").alias("origin"), F.col("long_summary").alias("text"))),
+        F.coalesce(F.transform("notes", lambda n: F.struct(F.lit("silver.notes").alias("origin"), n.alias("text"))), F.array()))).alias("f")).select("f.origin", "rec_id", "f.text")
+    return clean_text(c.unionByName(t).unionByName(s), "text").drop("text")
 
 
 def _looks(spark: SparkSession, d: str) -> DataFrame:
