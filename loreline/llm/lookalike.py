@@ -205,7 +205,7 @@ def same_looking_classes(texts: DataFrame) -> DataFrame:
     """
     counts = bigram_counts(texts)
     rows = consistent_text(texts.where("text <> ''"), "text", counts, "form", digest=True)
-    rows = rows.select("origin", "scope", "id", F.sha2("text", 256).alias("raw"), "form").distinct()
+    rows = materialise(rows.select("origin", "scope", "id", F.sha2("text", 256).alias("raw"), "form").distinct(), "looks")  # each form is made once
     sizes = rows.groupBy("origin", "scope", "form", "raw").agg(F.lit(1).alias("one")).groupBy("origin", "scope", "form").agg(F.count(F.lit(1)).alias("members"))
     return rows.join(sizes, ["origin", "scope", "form"])
 
@@ -218,7 +218,7 @@ def same_looking_pairs(texts: DataFrame) -> DataFrame:
     what is asked for; ``same_looking_classes`` has the same links without them. Exact
     copies do not pair with each other; null and empty texts pair with nothing.
     """
-    rows = materialise(same_looking_classes(texts).where("members > 1").select("origin", "scope", "id", "raw", "form"), "alike")
+    rows = same_looking_classes(texts).where("members > 1").select("origin", "scope", "id", "raw", "form")
     a, b = rows.alias("a"), rows.alias("b")
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("origin", "scope", "form")]
     pairs = a.join(b, [*on, F.col("a.id") < F.col("b.id"), F.col("a.raw") != F.col("b.raw")])
