@@ -13,7 +13,7 @@ from loreline.operators.silver import check_files, gate, incremental_skip, parse
 from loreline.plans.extraction import Extraction, extract_entities
 from loreline.session import materialise
 from loreline.sources import files
-from loreline.sources.wiki_api import scan_api_categories, scan_api_pages, update_category_cache
+from loreline.sources.wiki_api import http_get, scan_api_categories, scan_api_pages, update_category_cache
 
 RETRIES, RETRY_DELAY = 2, 1.5  # fixed values
 
@@ -84,21 +84,30 @@ def check_silver(spark: SparkSession, folder: str, expected: int) -> int:
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(description=__doc__)
     sub = p.add_subparsers(dest="job", required=True)
+    a = sub.add_parser("ingest")
+    a.add_argument("--api", required=True, help="address of the wiki's api.php")
+    a.add_argument("--max-chapter", type=int, default=1193)
+    a.add_argument("--incremental", action="store_true", help="only pages whose revision changed")
+    a.add_argument("--delay", type=float, default=0.5, help="seconds between requests")
+    a.add_argument("--data-dir", default="data")
+    a.add_argument("--rebuild-silver", action="store_true", help="silver again from the archived bronze, without network")
     a = sub.add_parser("rebuild-silver")
     a.add_argument("--data-dir", default="data")
     a = sub.add_parser("entities")
     a.add_argument("--data-dir", default="data")
     a.add_argument("--reference-dir", default="reference")
-    a.add_argument("--offline", action="store_true", help="accepted for habit; without a transport nothing is fetched")
+    a.add_argument("--api", help="address of the wiki's api.php, to ask for unknown categories; without it nothing is fetched")
     a = sub.add_parser("check-silver")
     a.add_argument("--silver", default="data/silver")
     a.add_argument("--expected", type=int, default=1193)
     args = p.parse_args(argv)
     spark = SparkSession.builder.appName("loreline").getOrCreate()
-    if args.job == "rebuild-silver":
+    if args.job == "ingest" and not args.rebuild_silver:
+        print(run(spark, http_get(args.api), args.max_chapter, args.incremental, args.data_dir, args.delay))
+    elif args.job in ("ingest", "rebuild-silver"):
         print(rebuild_silver(spark, args.data_dir))
     elif args.job == "entities":
-        print(entities_run(spark, args.data_dir, args.reference_dir).types.count())
+        print(entities_run(spark, args.data_dir, args.reference_dir, http_get(args.api) if args.api else None).types.count())
     else:
         return check_silver(spark, args.silver, args.expected)
     return 0

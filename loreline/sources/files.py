@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from loreline.functions.dialect import strip
 from loreline.operators.resolve import Dimensions
 from loreline.operators.silver import render_markdown
+from loreline.session import file_system
 
 BRONZE = "number INT, revid LONG, timestamp STRING, wikitext STRING"
 STATE = "number INT, revid LONG, complete BOOLEAN"
@@ -23,8 +22,8 @@ def layer_paths(data_dir: str) -> dict[str, str]:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    fs, p = file_system(spark, path)
+    return fs.exists(p)
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -103,20 +102,31 @@ def load_reference(spark: SparkSession, folder: str) -> Dimensions:
 
 
 def write_single(df: DataFrame, path: str, text_column: str | None = None) -> None:
-    """One text or JSON-lines file, in the order of ``df``; a local path only."""
-    if "://" in path and not path.startswith("file:"):
-        raise ValueError("single files are for local exports; write a folder instead")
-    local = path.removeprefix("file://")
-    temp = f"{local}.{uuid.uuid4().hex}"
+    """One text or JSON-lines file, in the order of ``df``, on any Hadoop file system.
+
+    The file is written beside its place by one task, as the format is one file, and put
+    there by a rename that replaces what was there.
+    """
+    spark = df.sparkSession
+    fs, target = file_system(spark, path)
+    temp = f"{path}.{uuid.uuid4().hex}"
     one = df.coalesce(1)
     if text_column:
         one.select(text_column).write.text(temp)
     else:
         one.write.option("ignoreNullFields", "false").json(temp)
-    os.makedirs(os.path.dirname(local) or ".", exist_ok=True)
-    part = next(f for f in os.listdir(temp) if f.startswith("part-"))
-    os.replace(f"{temp}/{part}", local)
-    shutil.rmtree(temp)
+    folder = file_system(spark, temp)[1]
+    part = next(f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    fs.mkdirs(fs.makeQualified(target).getParent())
+    replace_file(spark, fs.makeQualified(part), fs.makeQualified(target))
+    fs.delete(folder, True)
+
+
+def replace_file(spark: SparkSession, source, target) -> None:
+    options = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    overwrite = spark.sparkContext._gateway.new_array(options, 1)
+    overwrite[0] = options.OVERWRITE
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(source, target, overwrite)
 
 
 def sink_bronze(bronze: DataFrame, path: str) -> None:
@@ -130,14 +140,22 @@ def sink_state(state: DataFrame, path: str) -> None:
 
 
 def sink_silver(chapters: DataFrame, folder: str) -> None:
-    """One chapter_0000.md a chapter, written by the tasks that hold it."""
-    local = folder.removeprefix("file://")
-    os.makedirs(local, exist_ok=True)
+    """One chapter_0000.md a chapter, written by the tasks that hold it into a folder that
+    all executors reach; a file appears whole or not at all."""
+    fs, target = file_system(chapters.sparkSession, folder)
+    fs.mkdirs(target)
+    address = fs.makeQualified(target).toString()
 
     def write(rows) -> None:
+        from pyarrow import fs as pafs
+
+        system, root = (pafs.LocalFileSystem(), "/" + address.removeprefix("file:").lstrip("/")) if address.startswith("file:") else pafs.FileSystem.from_uri(address)
         for r in rows:
-            with open(f"{local}/chapter_{r.number:04d}.md", "w", encoding="utf-8", newline="") as f:
-                f.write(r.md)
+            name = f"chapter_{r.number:04d}.md"
+            temp = f"{root}/.{name}.{uuid.uuid4().hex}"
+            with system.open_output_stream(temp) as f:
+                f.write(r.md.encode("utf-8", "surrogatepass"))
+            system.move(temp, f"{root}/{name}")
 
     chapters.select("number", render_markdown().alias("md")).foreachPartition(write)
 
@@ -158,14 +176,10 @@ def sink_candidates(candidates: DataFrame, path: str) -> None:
         return F.when(v.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
 
     columns = candidates.columns
-    rows = candidates.orderBy(F.desc("link_count"), "alias", "canonical_name").select(F.concat(F.concat_ws(",", *map(cell, columns)), F.lit("\r")).alias("value"))
-    write_single(rows, path, "value")
-    local = path.removeprefix("file://")
-    temp = f"{local}.{uuid.uuid4().hex}"
-    with open(local, "rb") as old, open(temp, "wb") as new:
-        new.write(b"\xef\xbb\xbf" + (",".join(columns) + "\r\n").encode())
-        shutil.copyfileobj(old, new)
-    os.replace(temp, local)
+    rows = candidates.select(F.lit(1).alias("at"), "link_count", "alias", "canonical_name", F.concat(F.concat_ws(",", *map(cell, columns)), F.lit("\r")).alias("value"))
+    head = candidates.sparkSession.createDataFrame([(0, "\ufeff" + ",".join(columns) + "\r")], "at int, value string")
+    whole = rows.unionByName(head, allowMissingColumns=True).orderBy("at", F.desc("link_count"), "alias", "canonical_name")
+    write_single(whole, path, "value")
 
 
 def sink_category_cache(cache: DataFrame, path: str) -> None:

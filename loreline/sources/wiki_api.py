@@ -3,8 +3,11 @@ giving the decoded answer, so everything else works and is tested without a netw
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterable
+from urllib.parse import urlencode
+from urllib.request import Request, urlopen
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +23,17 @@ def batches(numbers: DataFrame, size: int = BATCH) -> DataFrame:
     return rows.groupBy("batch").agg(titles.alias("titles"))
 
 
+def http_get(api: str, agent: str = "loreline") -> Get:
+    """A transport over HTTP for the API at that address."""
+
+    def get(params: dict) -> dict:
+        request = Request(f"{api}?{urlencode(params)}", headers={"User-Agent": agent})
+        with urlopen(request, timeout=TIMEOUT_S) as answer:
+            return json.load(answer)
+
+    return get
+
+
 def patiently(get: Get, params: dict, sleep: Callable[[float], None] = time.sleep) -> dict:
     """Up to four attempts, waiting 1, 2 and 4 seconds between them."""
     for attempt in range(ATTEMPTS):
